@@ -1,0 +1 @@
+"""No streaming operator exists in this engine: every load replaces a source as a whole."""

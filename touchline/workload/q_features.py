@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline import catalogue
 from touchline.functions import scalars as S
+from touchline.operators import common as C
 from touchline.operators import features as FE
 from touchline.operators import totals as T
 from touchline.params import Methodology
 from touchline.plans import features as PF
 from touchline.workload import bindings as B
-from touchline.workload.q_totals import rounded
-from touchline.workload.registry import query
+from touchline.workload.registry import query, r6, rounded
 from touchline.workload.sqltext import view
 
 # The test tables hold about 70 minutes per player, season and source, so the minutes
@@ -122,6 +123,17 @@ def features(spark, sf):
     return PF.features(totals, padj, B.dim_player(spark, sf), cur, prev, METHOD)
 
 
+_STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
+def staged_features(spark, sf):
+    """The feature table, written once per session and read by every engine query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STAGED:
+        _STAGED[key] = C.stage(features(spark, sf), "features", partition_by=["season_mode"])
+    return _STAGED[key]
+
+
 _FEATURE_SQL = """SELECT player_id, season_mode, position_group, kpi, source, round(raw_p90, 6) AS raw_p90, round(value, 6) AS value,
   mins, effective_minutes, used_previous_season, is_proxy, padj_status, as_of, round(shrunk, 6) AS shrunk,
   round(percentile, 6) AS percentile, n_peers FROM f_features"""
@@ -137,8 +149,8 @@ def features_query(spark, sf):
   m_cur AS mins_cur, m_prev AS mins_prev FROM f_rates""")
 def kpi_formulas(spark, sf):
     return rates(spark, sf).select(
-        "player_id", "kpi", "source", F.round("rate_cur", 6).alias("rate_cur"),
-        F.round("rate_prev", 6).alias("rate_prev"), F.col("minutes").alias("mins_cur"),
+        "player_id", "kpi", "source", r6("rate_cur").alias("rate_cur"),
+        r6("rate_prev").alias("rate_prev"), F.col("minutes").alias("mins_cur"),
         F.col("minutes_prev").alias("mins_prev"))
 
 
@@ -152,7 +164,7 @@ def padj_status(spark, sf):
 def blend(spark, sf):
     b = S.blend("rate_cur", "minutes", "rate_prev", "minutes_prev", cap=METHOD.prev_minutes_cap)
     return rates(spark, sf).withColumn("b", b).select(
-        "player_id", "kpi", F.round("b.rate", 6).alias("rate"),
+        "player_id", "kpi", r6("b.rate").alias("rate"),
         F.col("b.minutes").alias("effective_minutes"), "b.used_previous")
 
 
@@ -168,13 +180,13 @@ def weighted_prior(spark, sf):
 @query("shrink", "SELECT player_id, season_mode, kpi, round(shrunk, 6) AS shrunk FROM f_shrunk")
 def shrink(spark, sf):
     return FE.add_shrunk(modes(spark, sf)).select(
-        "player_id", "season_mode", "kpi", F.round("shrunk", 6).alias("shrunk"))
+        "player_id", "season_mode", "kpi", r6("shrunk").alias("shrunk"))
 
 
 @query("season_mode_filter", """SELECT player_id, kpi, round(value, 6) AS value, effective_minutes FROM f_modes WHERE season_mode = 'current'""")
 def season_mode_filter(spark, sf):
-    return modes(spark, sf).filter(F.col("season_mode") == "current").select(
-        "player_id", "kpi", F.round("value", 6).alias("value"), "effective_minutes")
+    return staged_features(spark, sf).filter(F.col("season_mode") == "current").select(
+        "player_id", "kpi", r6("value").alias("value"), "effective_minutes")
 
 
 view("v_kpi_values", """SELECT p.player_id, p.position_group, k.kpi, t.mins, k.value, k.kpi <> 'conceded' AS higher_is_better FROM (
@@ -207,7 +219,7 @@ def percentiles(spark, sf):
 @query("eligible_for_rank", """SELECT player_id, kpi, round(value, 6) AS value FROM v_kpi_values
   WHERE mins >= 600 AND value IS NOT NULL AND position_group IS NOT NULL""")
 def eligible_for_rank(spark, sf):
-    return FE.eligible_for_rank(kpi_values(spark, sf)).select("player_id", "kpi", F.round("value", 6).alias("value"))
+    return FE.eligible_for_rank(kpi_values(spark, sf)).select("player_id", "kpi", r6("value").alias("value"))
 
 
 @query("n_peers_spread", """SELECT player_id, position_group, kpi, 'all' AS season_mode,
@@ -223,11 +235,11 @@ def n_peers_spread(spark, sf):
   round(CASE WHEN mins > 0 THEN xa * 90.0::DOUBLE / mins END, 6) AS xa_p90 FROM v_player_totals""")
 def per90(spark, sf):
     t = T.collapse_clubs(T.player_season(B.fact(spark, sf)))
-    return t.select("player_id", "season_id", "source", F.round(S.per90("goals", "minutes"), 6).alias("goals_p90"),
-                    F.round(S.per90("xa", "minutes"), 6).alias("xa_p90"))
+    return t.select("player_id", "season_id", "source", r6(S.per90("goals", "minutes")).alias("goals_p90"),
+                    r6(S.per90("xa", "minutes")).alias("xa_p90"))
 
 
 @query("nineties", "SELECT player_id, season_id, source, round(greatest(mins, 0) / 90.0::DOUBLE, 6) AS nineties FROM v_player_totals")
 def nineties(spark, sf):
     t = T.collapse_clubs(T.player_season(B.fact(spark, sf)))
-    return t.select("player_id", "season_id", "source", F.round(S.nineties("minutes"), 6).alias("nineties"))
+    return t.select("player_id", "season_id", "source", r6(S.nineties("minutes")).alias("nineties"))

@@ -9,7 +9,7 @@ from touchline import params as P
 from touchline.functions import scalars as S
 from touchline.operators import totals as T
 from touchline.workload import bindings as B
-from touchline.workload.registry import query
+from touchline.workload.registry import query, r6, rounded
 from touchline.workload.sqltext import view
 
 STATS = catalogue.PLAYER_STATS
@@ -71,14 +71,6 @@ view("v_club", """SELECT * FROM v_team WHERE fpl_code IS NOT NULL AND team_id IN
   (SELECT team_id FROM v_sides WHERE season_id = (SELECT cur FROM v_now))""")
 
 
-def rounded(df, *cols, digits: int = 6):
-    """Round the named double columns, as the oracle does."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
-_DBL = [c for c in STATS if c in ("xg", "npxg", "xa", "xg_chain", "xg_buildup", "xgc_on_pitch")]
-
-
 @query("player_season", "SELECT player_id, season_id, team_id, source, matches, mins, starts, "
        + ", ".join(STATS) + ", fetched_at FROM v_totals")
 def player_season(spark, sf):
@@ -107,7 +99,7 @@ def join_opponent_share(spark, sf):
     rows = T.join_opponent_share(B.fact(spark, sf).filter(F.col("source") != "understat"),
                                  B.dim_match(spark, sf), B.fact_team(spark, sf))
     return rows.groupBy("player_id", "season_id", "team_id", "source", "match_id",
-                        F.round("opponent_share", 6).alias("opponent_share")).agg(
+                        r6("opponent_share").alias("opponent_share")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("tackles").alias("tackles"))
 
 
@@ -123,8 +115,8 @@ def defensive_padj(spark, sf):
   FROM v_team_fact WHERE source = 'espn'""")
 def possession_multiplier(spark, sf):
     rows = B.fact_team(spark, sf).filter(F.col("source") == "espn")
-    return rows.select("match_id", "team_id", F.round("possession", 6).alias("possession"),
-                       F.round(S.possession_multiplier("possession"), 6).alias("multiplier"))
+    return rows.select("match_id", "team_id", r6("possession").alias("possession"),
+                       r6(S.possession_multiplier("possession")).alias("multiplier"))
 
 
 @query("team_season", "SELECT source, team_id, season_id, matches, " + ", ".join(

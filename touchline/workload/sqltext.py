@@ -11,8 +11,36 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql
 
 
+def _close(text: str, start: int) -> int:
+    """Position of the parenthesis closing the one opened just before ``start``."""
+    depth = 1
+    for i in range(start, len(text)):
+        depth += {"(": 1, ")": -1}.get(text[i], 0)
+        if depth == 0:
+            return i
+    raise ValueError("unbalanced parentheses")
+
+
+def spell_rounding(sql: str) -> str:
+    """``round(x, 6)`` as the same floor arithmetic the Spark side uses, so that values half
+    way between two steps go the same way in both engines."""
+    at = 0
+    while (found := sql.find("round(", at)) >= 0:
+        end = _close(sql, found + 6)
+        inner = sql[found + 6:end]
+        if inner.endswith(", 6"):
+            body = f"(floor(({inner[:-3]})::DOUBLE * 1000000::DOUBLE + 0.5001::DOUBLE) / 1000000::DOUBLE)"
+            sql = sql[:found] + body + sql[end + 1:]
+        at = found + 1
+    return sql
+
+
 def compose(sql: str) -> str:
     """Prefix ``sql`` with the shared views it mentions, directly or through other views."""
+    return spell_rounding(_compose(sql))
+
+
+def _compose(sql: str) -> str:
     ordered: list[str] = []
 
     def visit(text: str) -> None:

@@ -45,6 +45,15 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by ``cols`` into the session's number of shuffle partitions.
+
+    For work whose cost is in computing rather than in bytes: an explicit number is not
+    merged into a few tasks because the rows happen to be small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
             rank: str | None = None) -> DataFrame:
     """First ``k`` rows per key in a total order; ``rank`` names an optional rank column."""

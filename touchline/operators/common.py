@@ -125,25 +125,36 @@ def nth_smallest(df: DataFrame, part: Sequence[str], score: str, nth: Column, ou
     return table.filter(hit).select(*part, F.col(score).alias(out))
 
 
-def quantile(df: DataFrame, part: Sequence[str], score: str, q: float, out: str,
-             rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Exact interpolated quantile per group (linear between neighbouring order statistics)."""
-    position = (F.col("n_total") - 1) * F.lit(q)
-    table = (score_table(df, part, score, rows_per_bucket)
-             .withColumn("__lo", F.floor(position) + 1)
-             .withColumn("__hi", F.ceil(position) + 1)
-             .withColumn("__w", position - F.floor(position)))
-
-    def at(name: str) -> Column:
-        return ((F.col("n_less") < F.col(name))
-                & (F.col(name) <= F.col("n_less") + F.col("n_equal")))
+def quantiles(df: DataFrame, part: Sequence[str], score: str, wanted: dict[str, float],
+              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exact interpolated quantiles per group, all read off one rank table.
 
+    ``wanted`` maps an output column to its quantile; values between two order statistics
+    are interpolated linearly.
+    """
+    table = score_table(df, part, score, rows_per_bucket)
     v = F.col(score).cast("double")
-    picked = table.filter(at("__lo") | at("__hi")).groupBy(*part).agg(
-        F.max(F.when(at("__lo"), v)).alias("__vlo"), F.max(F.when(at("__hi"), v)).alias("__vhi"),
-        F.max("__w").alias("__w"))
-    value = F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__w")
-    return picked.select(*part, value.alias(out))
+
+    def spot(q: float) -> Column:
+        return (F.col("n_total") - 1) * F.lit(q)
+
+    def holds(nth: Column) -> Column:
+        return (F.col("n_less") < nth) & (nth <= F.col("n_less") + F.col("n_equal"))
+
+    aggs, outs, any_hit = [], [], F.lit(False)
+    for name, q in wanted.items():
+        low, high = holds(F.floor(spot(q)) + 1), holds(F.ceil(spot(q)) + 1)
+        any_hit = any_hit | low | high
+        aggs += [F.max(F.when(low, v)).alias(f"__l_{name}"), F.max(F.when(high, v)).alias(f"__h_{name}"),
+                 F.max(spot(q) - F.floor(spot(q))).alias(f"__w_{name}")]
+        lo = F.col(f"__l_{name}")
+        outs.append((lo + (F.col(f"__h_{name}") - lo) * F.col(f"__w_{name}")).alias(name))
+    return table.filter(any_hit).groupBy(*part).agg(*aggs).select(*part, *outs)
+
+
+def quantile(df: DataFrame, part: Sequence[str], score: str, q: float, out: str,
+             rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    return quantiles(df, part, score, {out: q}, rows_per_bucket)
 
 
 def median(df: DataFrame, part: Sequence[str], score: str, out: str,

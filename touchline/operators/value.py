@@ -65,30 +65,39 @@ def age_bucketed(df: DataFrame, v: ValueParams = _V) -> DataFrame:
     return df.withColumn("bucket", S.age_bucket("age", v.age_edges))
 
 
-def grouped_quantiles(df: DataFrame, score: str, q: float, out: str, v: ValueParams = _V) -> DataFrame:
-    """Quantile of a score per (group, bucket), per group and overall, as one long table."""
+def grouped_quantiles(df: DataFrame, score: str, wanted: dict[str, float], v: ValueParams = _V) -> DataFrame:
+    """Quantiles of a score per (group, bucket), per group and overall, as one long table.
+
+    Every row is counted at its three levels, so one rank table serves them all.
+    """
     rows = age_bucketed(df, v) if "bucket" not in df.columns else df
-    cell = C.quantile(rows.filter(F.col("bucket").isNotNull()), ["position_group", "bucket"], score, q, out)
-    group = C.quantile(rows, ["position_group"], score, q, out).withColumn("bucket", F.lit(None).cast("int"))
-    overall = C.quantile(rows.withColumn("every", F.lit(1)), ["every"], score, q, out).select(
-        F.lit(None).cast("string").alias("position_group"), F.lit(None).cast("int").alias("bucket"), out)
-    return cell.unionByName(group).unionByName(overall)
+    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def level(name: str, group: Column, bucket: Column) -> Column:
+        return F.struct(F.lit(name).alias("level"), group.alias("position_group"), bucket.alias("bucket"))
+
+    levels = F.array(level("cell", F.col("position_group"), F.col("bucket")),
+                     level("group", F.col("position_group"), none_i), level("all", none_s, none_i))
+    spread_ = rows.select(score, F.inline(levels)).filter("level != 'cell' or bucket is not null")
+    return C.quantiles(spread_, ["level", "position_group", "bucket"], score, wanted)
 
 
 def baseline_medians(train: DataFrame, v: ValueParams = _V) -> DataFrame:
-    return grouped_quantiles(train, "log_value", 0.5, "median", v)
+    return grouped_quantiles(train, "log_value", {"median": 0.5}, v).drop("level")
 
 
-def with_fallback(df: DataFrame, table: DataFrame, value: str, v: ValueParams = _V) -> DataFrame:
-    """Attach a (group, bucket) value, else the group's, else the overall one."""
+def with_fallback(df: DataFrame, table: DataFrame, values: Sequence[str], v: ValueParams = _V) -> DataFrame:
+    """Attach (group, bucket) values, else the group's, else the overall ones."""
     g, b = F.col("position_group"), F.col("bucket")
-    rows = age_bucketed(df, v) if "bucket" not in df.columns else df
-    cell = table.filter(b.isNotNull()).select("position_group", "bucket", F.col(value).alias("__cell"))
-    group = table.filter(b.isNull() & g.isNotNull()).select("position_group", F.col(value).alias("__group"))
-    overall = table.filter(g.isNull()).select(F.lit(1).alias("__k"), F.col(value).alias("__all"))
-    return (rows.join(cell, ["position_group", "bucket"], "left").join(group, "position_group", "left")
-            .withColumn("__k", F.lit(1)).join(overall, "__k", "left")
-            .withColumn(value, F.coalesce("__cell", "__group", "__all")).drop("__cell", "__group", "__all", "__k"))
+    out = age_bucketed(df, v) if "bucket" not in df.columns else df
+    levels = [("c", table.filter(b.isNotNull()), ["position_group", "bucket"]),
+              ("g", table.filter(b.isNull() & g.isNotNull()), ["position_group"]),
+              ("a", table.filter(g.isNull()).withColumn("__k", F.lit(1)), ["__k"])]
+    out = out.withColumn("__k", F.lit(1))
+    for name, rows, keys in levels:
+        out = out.join(rows.select(*keys, *[F.col(x).alias(f"__{name}_{x}") for x in values]), keys, "left")
+    return (out.withColumns({x: F.coalesce(*[f"__{n}_{x}" for n in "cga"]) for x in values})
+            .drop("__k", *[f"__{n}_{x}" for n in "cga" for x in values]))
 
 
 def error_metrics(pred: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
@@ -104,9 +113,8 @@ def value_band(pred: DataFrame, residuals: DataFrame, v: ValueParams = _V) -> Da
 
     ``pred`` has yhat; ``residuals`` has position_group, age and residual (y - yhat).
     """
-    out = pred
-    for q, name in ((v.low_quantile, "__lo"), (v.high_quantile, "__hi")):
-        out = with_fallback(out, grouped_quantiles(residuals, "residual", q, name, v), name, v)
+    table = grouped_quantiles(residuals, "residual", {"__lo": v.low_quantile, "__hi": v.high_quantile}, v)
+    out = with_fallback(pred, table, ["__lo", "__hi"], v)
     ordered = F.array_sort(F.array(F.col("yhat") + F.least("__lo", "__hi"), F.col("yhat"), F.col("yhat") + F.greatest("__lo", "__hi")))
     return (out.withColumn("__b", ordered).withColumns({
         "low": F.col("__b")[0], "mid": F.col("__b")[1], "high": F.col("__b")[2]}).drop("__b", "__lo", "__hi"))
@@ -187,7 +195,7 @@ def value_model(frame: DataFrame, v: ValueParams = _V) -> ValueModel:
     pred = held.predict(test).withColumn("y", F.col("log_value"))
     banded = C.stage(value_band(pred, residuals, v), "value-banded")
     adjustment = conformal_adjust(banded, v.high_quantile - v.low_quantile).first()["adjustment"]
-    base = with_fallback(test.withColumn("y", F.col("log_value")), baseline_medians(train, v), "median", v)
+    base = with_fallback(test.withColumn("y", F.col("log_value")), baseline_medians(train, v), ["median"], v)
     m, b = error_metrics(banded).first(), error_metrics(base, "y", "median").first()
     metrics = {
         "mae_log": m["mae_log"], "median_abs_pct_error": m["median_abs_pct_error"],

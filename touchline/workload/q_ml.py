@@ -190,7 +190,7 @@ def baseline_medians(spark, sf):
 
 def baseline_pred(spark, sf):
     train = C.stage(training(spark, sf), "train")
-    return (V.with_fallback(train, V.baseline_medians(train, VALUE), "median", VALUE)
+    return (V.with_fallback(train, V.baseline_medians(train, VALUE), ["median"], VALUE)
             .withColumn("y", F.col("log_value")).withColumnRenamed("median", "yhat"))
 
 

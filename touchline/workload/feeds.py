@@ -16,17 +16,23 @@ from touchline.workload import bindings as B
 STAMP, OLD_STAMP = "20260102T030405000000Z", "20260101T000000000000Z"
 OLD_SEASONS = 1997  # archive seasons that start before this year lack the optional columns
 _ROOTS: dict[tuple[str, str], str] = {}
+_DONE: set[tuple[str, str]] = set()
 KINDS = ("GKP", "DEF", "MID", "FWD")
 
 
-def landed(spark, sf) -> str:
+def landed(spark, sf, *sources) -> str:
+    """Root folder with the feeds of ``sources`` (all of them by default) landed once."""
+    writers = {"fpl": _fpl, "vaastav": _archive, "understat": _understat, "espn": _espn, "transfermarkt": _market,
+               "override": _overrides, "statsbomb": _events}
     key = (spark.sparkContext.applicationId, sf)
     if key not in _ROOTS:
-        root = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
-        for write in (_fpl, _archive, _understat, _espn, _market, _overrides, _events):
-            write(spark, sf, root)
-        _ROOTS[key] = root
-    return _ROOTS[key]
+        _ROOTS[key] = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    root = _ROOTS[key]
+    for source in sources or writers:
+        if (root, source) not in _DONE:
+            writers[source](spark, sf, root)
+            _DONE.add((root, source))
+    return root
 
 
 def _json(df, path):
@@ -142,8 +148,8 @@ def _espn(spark, sf, root):
     status = F.struct(F.struct((mid % 12 != 0).alias("completed")).alias("type"))
     event = F.struct(mid.cast("string").alias("id"), F.date_format("kickoff", "yyyy-MM-dd'T'15:00'Z'").alias("date"), status.alias("status"),
                      F.array(F.struct(F.array(side("home", F.concat(share.cast("string"), F.lit("%"))), side("away", away)).alias("competitors"))).alias("competitions"))
-    day = F.explode(F.when(mid % 20 == 0, F.array("kickoff", F.date_add("kickoff", 1))).otherwise(F.array("kickoff")))
-    docs = (m.join(h, "home_team_id").join(a, "away_team_id").withColumn("event", event).withColumn("day", F.date_format(day, "yyyyMMdd"))
+    days = F.when(mid % 20 == 0, F.array("kickoff", F.date_add("kickoff", 1))).otherwise(F.array("kickoff"))
+    docs = (m.join(h, "home_team_id").join(a, "away_team_id").withColumn("event", event).withColumn("day", F.explode(days)).withColumn("day", F.date_format("day", "yyyyMMdd"))
             .groupBy("season_id", "day", F.floor(mid / 4096).alias("part")).agg(F.collect_list("event").alias("events")))
     _json(docs.select(F.col("season_id").alias("season"), F.create_map("day", F.struct("events")).alias("days")), f"{root}/espn/{STAMP}/scoreboards.json")
 

@@ -18,7 +18,7 @@ from touchline.sources import scans as SC
 from touchline.sources import sinks as SK
 from touchline.sources import snapshots as SN
 from touchline.workload import bindings as B
-from touchline.workload.feeds import OLD_STAMP, STAMP, landed
+from touchline.workload.feeds import STAMP, landed
 from touchline.workload.q_features import staged_features
 from touchline.workload.q_links import RULES, staged
 from touchline.workload.registry import query, r6, rounded
@@ -29,7 +29,7 @@ NOON = "TIMESTAMP '2001-09-01 15:00:00'"
 
 
 def fpl(spark, sf, name):
-    return f"{landed(spark, sf)}/fpl/{STAMP}/{name}"
+    return f"{landed(spark, sf, 'fpl')}/fpl/{STAMP}/{name}"
 
 
 @query("scan_teams", f"""SELECT n_nationkey + 1 AS fpl_team_id, n_nationkey + 100 AS fpl_code, n_name AS name, 'N' || n_nationkey AS short_name, '2001-02' AS season_id,
@@ -87,7 +87,7 @@ def _new(expr: str) -> str:
   CAST(NULL AS DOUBLE) AS goals_conceded, CAST(NULL AS DOUBLE) AS penalties_saved, {_new('m.home_score')} AS home_score, {_new('m.away_score')} AS away_score, 'vaastav' AS source, {AT} AS fetched_at
   FROM v_fact f JOIN v_match m ON m.match_id = f.match_id""")
 def scan_archive_seasons(spark, sf):
-    root = landed(spark, sf)
+    root = landed(spark, sf, "vaastav")
     seasons = [r["season_id"] for r in SN.seasons_present(SN.list_files(spark, f"{root}/vaastav")).collect()]
     return SC.scan_archive_seasons(spark, f"{root}/vaastav/{STAMP}", seasons).withColumnRenamed("minutes", "mins")
 
@@ -102,7 +102,7 @@ view("x_shot", """SELECT f.match_id, f.player_id, n.n_name AS team, f.npxg / 2 A
     sum(key_passes) AS key_passes FROM v_fact GROUP BY 1, 2, 3, 4) p JOIN nation n ON n.n_nationkey = p.team_id
   LEFT JOIN (SELECT match_id, player_id, sum(xg) AS pen FROM x_shot WHERE kind = 0 GROUP BY 1, 2) s ON s.match_id = p.match_id AND s.player_id = p.player_id""")
 def scan_player_shots(spark, sf):
-    base = f"{landed(spark, sf)}/understat/{STAMP}"
+    base = f"{landed(spark, sf, 'understat')}/understat/{STAMP}"
     return SC.scan_player_shots(spark, f"{base}/*_player_match.csv", f"{base}/*_shots.csv").withColumnRenamed("minutes", "mins")
 
 
@@ -119,7 +119,7 @@ view("x_half", """SELECT match_id, season_id, kickoff, home_team_id AS t, away_t
   LEFT JOIN (SELECT match_id, team, sum(CASE WHEN kind IN (1, 2) THEN xg ELSE 0 END) AS sp FROM x_shot GROUP BY 1, 2) a ON a.match_id = x.match_id AND a.team = x.tn
   LEFT JOIN (SELECT match_id, team, sum(CASE WHEN kind IN (1, 2) THEN xg ELSE 0 END) AS sp, sum(CASE WHEN kind = 3 THEN xg ELSE 0 END) AS op FROM x_shot GROUP BY 1, 2) b ON b.match_id = x.match_id AND b.team = x.opn""")
 def scan_team_match_unpivot(spark, sf):
-    base = f"{landed(spark, sf)}/understat/{STAMP}"
+    base = f"{landed(spark, sf, 'understat')}/understat/{STAMP}"
     return SC.scan_team_match_unpivot(spark, f"{base}/*_team_match.csv", f"{base}/*_shots.csv")
 
 
@@ -131,7 +131,7 @@ view("x_event", """SELECT *, (match_id % 60 + 20) / 100.0::DOUBLE AS hs, CASE WH
   round(s.b, 6) AS opp_possession_share, 'espn' AS source, {AT} AS fetched_at FROM x_event,
   LATERAL (SELECT hn AS team_name, an AS opponent_name, true AS is_home, hs AS a, aws AS b UNION ALL SELECT an, hn, false, aws, hs) s WHERE NOT coalesce(abs(hs + aws - 1) > 0.02, false)""")
 def scan_possession(spark, sf):
-    df, _bad = SC.scan_possession(spark, f"{landed(spark, sf)}/espn/{STAMP}/scoreboards.json", multi_line=False)
+    df, _bad = SC.scan_possession(spark, f"{landed(spark, sf, 'espn')}/espn/{STAMP}/scoreboards.json", multi_line=False)
     return rounded(df, "possession_share", "opp_possession_share")
 
 
@@ -143,11 +143,11 @@ view("x_last", """SELECT player_id, max(tm_last_updated) AS d, (list(value_eur O
   CASE WHEN l.d IS NOT NULL THEN CASE WHEN c_custkey % 2 = 0 THEN 1500000 ELSE l.v END END AS value_eur, l.d AS tm_last_updated, false AS is_stale, 'transfermarkt' AS source, {AT} AS fetched_at
   FROM customer LEFT JOIN x_last l ON l.player_id = c_custkey""")
 def scan_market_live(spark, sf):
-    return SC.scan_market_live(spark, f"{landed(spark, sf)}/transfermarkt/{STAMP}", multi_line=False)
+    return SC.scan_market_live(spark, f"{landed(spark, sf, 'transfermarkt')}/transfermarkt/{STAMP}", multi_line=False)
 
 
 def market_files(spark, sf):
-    base = f"{landed(spark, sf)}/transfermarkt_datasets/{STAMP}"
+    base = f"{landed(spark, sf, 'transfermarkt')}/transfermarkt_datasets/{STAMP}"
     return f"{base}/players.csv.gz", f"{base}/player_valuations.csv.gz"
 
 
@@ -168,7 +168,7 @@ def scan_market_history(spark, sf):
     array_to_string(list_filter([CASE WHEN value_eur IS NULL THEN 'value_eur' END, CASE WHEN tm_last_updated IS NULL THEN 'tm_last_updated' END, CASE WHEN id % 5 = 0 THEN 'reason' END], lambda x: x IS NOT NULL), ',') END AS empty_columns
   FROM (SELECT *, value_eur IS NOT NULL AND tm_last_updated IS NOT NULL AND id % 5 <> 0 AS ok FROM v_value WHERE source = 'override')""")
 def scan_overrides(spark, sf):
-    good, bad = SC.scan_overrides(spark, f"{landed(spark, sf)}/override/{STAMP}/market_value_overrides.csv")
+    good, bad = SC.scan_overrides(spark, f"{landed(spark, sf, 'override')}/override/{STAMP}/market_value_overrides.csv")
     kept = SC.market_overrides(good).select("tm_player_id", "value_eur", "tm_last_updated", "fetched_at").withColumn("empty_columns", F.lit(None).cast("string"))
     lost = bad.select("tm_player_id", F.col("value_eur").try_cast("bigint").alias("value_eur"), F.col("tm_last_updated").try_cast("date").alias("tm_last_updated"),
                       F.lit(None).cast("date").alias("fetched_at"), F.array_join("empty_columns", ",").alias("empty_columns"))
@@ -181,7 +181,7 @@ def scan_overrides(spark, sf):
   CASE event_type WHEN 'click' THEN (event_id % 80)::DOUBLE WHEN 'view' THEN 2 END AS end_y, CASE WHEN event_type = 'purchase' THEN event_id % 8 / 8 END AS shot_xg, CASE WHEN event_type = 'purchase' THEN 'Goal' END AS outcome,
   'statsbomb' AS source, {AT} AS fetched_at FROM events""")
 def scan_events_flatten(spark, sf):
-    return SC.scan_events_flatten(spark, f"{landed(spark, sf)}/statsbomb/{STAMP}/*events-*", multi_line=False)
+    return SC.scan_events_flatten(spark, f"{landed(spark, sf, 'statsbomb')}/statsbomb/{STAMP}/*events-*", multi_line=False)
 
 
 _NAMES = f"""SELECT 'fpl' AS source, unnest(['bootstrap-static.json', 'fixtures.json', 'element-summary.json']) AS name UNION ALL

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import names as NM
-from touchline.operators.common import spread, stage, top_per
+from touchline.operators.common import sliced_join, stage, top_per
 from touchline.params import LinkParams
 
 _L = LinkParams()
@@ -65,8 +65,7 @@ def pair_scores(records: DataFrame, anchors: DataFrame, p: LinkParams = _L) -> D
     """Name score of every record against the anchors of its clubs."""
     r = _spelled_records(records).select(*REC, "spelled", F.col("birth_date").alias("record_birth"),
                                          F.explode(F.array_distinct("team_codes")).alias("team_code"))
-    left, right = spread(r, "team_code"), spread(_spelled_anchors(anchors), "team_code")
-    return (left.join(right, "team_code").withColumn("score", _score(p))
+    return (sliced_join(r, _spelled_anchors(anchors), "team_code", "source_id").withColumn("score", _score(p))
             .select(*REC, "code", "score", "record_birth", "anchor_birth"))
 
 
@@ -112,9 +111,9 @@ def link_decide(records: DataFrame, anchors: DataFrame, overrides: DataFrame,
     rows = stage(rows, "link-decided")
     accepted = rows.filter("reason is null").select(*accepted_columns)
     unsure = rows.filter("reason is not null")
-    dated = spread(_spelled_records(unsure.filter(F.col("birth_date").isNotNull())), "birth_date")
-    born = spread(_spelled_anchors(anchors).drop("team_code").filter(F.col("anchor_birth").isNotNull()), "anchor_birth")
-    elsewhere = (dated.join(born, F.col("birth_date") == F.col("anchor_birth"))
+    dated = _spelled_records(unsure.filter(F.col("birth_date").isNotNull())).withColumnRenamed("birth_date", "born")
+    born = _spelled_anchors(anchors).drop("team_code").withColumnRenamed("anchor_birth", "born").filter(F.col("born").isNotNull())
+    elsewhere = (sliced_join(dated, born, "born", "source_id")
                  .withColumn("score", _score(p)).filter(F.col("score") >= p.accept_score)
                  .groupBy(*REC).agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("code"), F.max("score").alias("score"))
                  .filter("n = 1").select(*REC, "code", F.bround("score", 1).alias("score"),

@@ -237,13 +237,15 @@ def model_runs(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def standardise(df: DataFrame, cols: Sequence[str], over: Sequence[str] = ()) -> DataFrame:
     """z-score of each column over its known values; NULL with fewer than 2 or no spread."""
-    stats = df.groupBy(*over).agg(*[x for c in cols for x in (
-        F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"), F.count(c).alias(f"__n_{c}"))])
+    aggs = [x for c in cols for x in (
+        F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"), F.count(c).alias(f"__n_{c}"))]
     if over:
-        joined = df.join(stats, list(over))
+        joined = df.join(df.groupBy(*over).agg(*aggs), list(over))
     else:
-        joined = (df.withColumn("__k", F.lit(1)).join(stats.withColumn("__k", F.lit(1)), "__k")
-                  .drop("__k"))
+        # One row of statistics: a scalar subquery, so the rows are not moved to meet it.
+        one = df.agg(*aggs)
+        joined = df.withColumn("__one", one.select(F.struct(*one.columns).alias("s")).scalar())
+        joined = joined.select(*df.columns, "__one.*")
     zs = {f"{c}_z": F.when((F.col(f"__n_{c}") >= 2) & (F.col(f"__s_{c}") > 0),
                            (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")) for c in cols}
     return joined.withColumns(zs).drop(*[f"__{k}_{c}" for c in cols for k in "msn"])

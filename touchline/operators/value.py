@@ -91,13 +91,14 @@ def with_fallback(df: DataFrame, table: DataFrame, values: Sequence[str], v: Val
     g, b = F.col("position_group"), F.col("bucket")
     out = age_bucketed(df, v) if "bucket" not in df.columns else df
     levels = [("c", table.filter(b.isNotNull()), ["position_group", "bucket"]),
-              ("g", table.filter(b.isNull() & g.isNotNull()), ["position_group"]),
-              ("a", table.filter(g.isNull()).withColumn("__k", F.lit(1)), ["__k"])]
-    out = out.withColumn("__k", F.lit(1))
+              ("g", table.filter(b.isNull() & g.isNotNull()), ["position_group"])]
     for name, rows, keys in levels:
         out = out.join(rows.select(*keys, *[F.col(x).alias(f"__{name}_{x}") for x in values]), keys, "left")
-    return (out.withColumns({x: F.coalesce(*[f"__{n}_{x}" for n in "cga"]) for x in values})
-            .drop("__k", *[f"__{n}_{x}" for n in "cga" for x in values]))
+    # The overall values are one row: a scalar subquery, so the rows are not moved to meet it.
+    overall = table.filter(g.isNull()).agg(F.max(F.struct(*values)).alias("s")).scalar()
+    out = out.withColumn("__a", overall)
+    return (out.withColumns({x: F.coalesce(f"__c_{x}", f"__g_{x}", F.col(f"__a.{x}")) for x in values})
+            .drop("__a", *[f"__{n}_{x}" for n in "cg" for x in values]))
 
 
 def error_metrics(pred: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:

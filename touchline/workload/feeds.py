@@ -97,11 +97,11 @@ def _archive(spark, sf, root):
     required = [c for c in cols if c not in ("starts", "expected_goals", "expected_assists", "tackles", "recoveries", "team_h_score", "team_a_score")]
     rows.filter(old).select(*required, name).write.partitionBy("name").option("header", True).mode("append").csv(base)
     rows.filter(~old).select(*cols, name).write.partitionBy("name").option("header", True).mode("append").csv(base)
-    seasons = B.dim_season(spark, sf).select("season_id").withColumn("k", F.lit(1))
-    players = B.table(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("id"), (F.col("c_custkey") + 5000).alias("code"), F.lit(1).alias("k"))
-    teams = B.table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("id"), (F.col("n_nationkey") + 100).alias("code"), F.col("n_name").alias("name_"), F.lit(1).alias("k"))
-    players.join(seasons, "k").select("id", "code", F.concat("season_id", F.lit("_players_raw.csv")).alias("name")).write.partitionBy("name").option("header", True).mode("append").csv(base)
-    (teams.join(seasons, "k").withColumn("file", F.concat("season_id", F.lit("_teams.csv"))).select("id", "code", F.col("name_").alias("name"), "file")
+    seasons = B.dim_season(spark, sf).agg(F.collect_set("season_id")).scalar()
+    players = B.table(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("id"), (F.col("c_custkey") + 5000).alias("code"), seasons.alias("seasons"))
+    teams = B.table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("id"), (F.col("n_nationkey") + 100).alias("code"), F.col("n_name").alias("name_"), seasons.alias("seasons"))
+    players.withColumn("season_id", F.explode("seasons")).select("id", "code", F.concat("season_id", F.lit("_players_raw.csv")).alias("name")).write.partitionBy("name").option("header", True).mode("append").csv(base)
+    (teams.withColumn("season_id", F.explode("seasons")).withColumn("file", F.concat("season_id", F.lit("_teams.csv"))).select("id", "code", F.col("name_").alias("name"), "file")
      .write.partitionBy("file").option("header", True).mode("append").csv(base))
 
 

@@ -268,7 +268,7 @@ def backtest(spark, sf):
   LEFT JOIN v_deficit d ON d.team_id = coalesce(x.team_id, y.team_id) AND d.position_group = coalesce(x.position_group, y.position_group) AND d.kpi = coalesce(x.kpi, y.kpi)""")
 def compare_entities(spark, sf):
     x = Inputs(spark, sf)
-    profiles = T.player_profiles(x.fact, x.match, x.cur, x.players, x.status).select("position_group", F.col("player_id").alias("a"))
+    profiles = x.profiles().select("position_group", F.col("player_id").alias("a"))
     lead = T.incumbent(x.squads).select("team_id", "position_group", F.col("player_id").alias("b"))
     pairs_ = lead.join(profiles, "position_group").filter("a != b")
     mine = x.features.filter(F.col("season_mode") == "blended").join(
@@ -287,7 +287,7 @@ def attach_value_score(spark, sf):
     season = F.when(F.col("player_id") % 2 == 0, x.cur).otherwise(x.prev)
     scores = best.select("player_id", season.alias("season_id"), r6(F.col("value_eur") * 1.1).alias("implied_value_eur"),
                          S.band_label("value_eur", F.lit(5_000_000), F.lit(20_000_000)).alias("value_label"))
-    profiles = T.player_profiles(x.fact, x.match, x.cur, x.players, x.status).select("player_id", "current_team_id")
+    profiles = x.profiles().select("player_id", "current_team_id")
     return CA.attach_value_score(profiles, scores, x.cur)
 
 

@@ -123,17 +123,21 @@ def features(spark, sf):
     return PF.features(totals, padj, B.dim_player(spark, sf), cur, prev, METHOD)
 
 
-_STAGED: dict[tuple[str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def staged_features(spark, sf):
-    """The feature table, written once per session and read by every engine query."""
-    key = (spark.sparkContext.applicationId, sf)
+def warehouse(spark, sf, name, build, partition_by=()):
+    """A warehouse table several engines read: written once per session, then shared."""
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STAGED:
-        _STAGED[key] = C.stage(features(spark, sf), "features", partition_by=["season_mode"])
+        _STAGED[key] = C.stage(build(), name, partition_by)
     return _STAGED[key]
 
 
+def staged_features(spark, sf):
+    return warehouse(spark, sf, "features", lambda: features(spark, sf), ["season_mode"])
+
+
 _FEATURE_SQL = """SELECT player_id, season_mode, position_group, kpi, source, round(raw_p90, 6) AS raw_p90, round(value, 6) AS value,
   mins, effective_minutes, used_previous_season, is_proxy, padj_status, as_of, round(shrunk, 6) AS shrunk,
   round(percentile, 6) AS percentile, n_peers FROM f_features"""

@@ -12,7 +12,7 @@ from touchline.params import Filters
 from touchline.plans import diagnosis as D
 from touchline.plans import shortlist as SL
 from touchline.workload import bindings as B
-from touchline.workload.q_features import METHOD, season_pair, staged_features
+from touchline.workload.q_features import METHOD, season_pair, staged_features, warehouse
 from touchline.workload.registry import query, r6, rounded
 from touchline.workload.sqltext import view
 
@@ -153,11 +153,12 @@ class Inputs:
 
     def __init__(self, spark, sf):
         self.cur, self.prev = season_pair(spark, sf)
-        fact, match = B.fact(spark, sf), B.dim_match(spark, sf)
+        fact = B.fact(spark, sf)
+        match = warehouse(spark, sf, "dim-match", lambda: B.dim_match(spark, sf))
         self.fact, self.match = fact, match
         self.players, self.status = B.dim_player(spark, sf), B.status(spark, sf)
         self.features = staged_features(spark, sf)
-        self.squads = T.club_players(fact, self.cur, self.players, self.status)
+        self.squads = warehouse(spark, sf, "squads", lambda: T.club_players(fact, self.cur, self.players, self.status))
         self.table = T.standings(match.filter(F.col("season_id") == self.prev))
         self.clubs = T.current_clubs(B.dim_team(spark, sf), match, self.cur)
         self.members = N.benchmark_members(self.table, self.clubs)
@@ -165,11 +166,16 @@ class Inputs:
         self.as_of = F.lit(B.TODAY).cast("date")
         self.spark, self.sf = spark, sf
 
+    def profiles(self):
+        return warehouse(self.spark, self.sf, "profiles", lambda: T.player_profiles(
+            self.fact, self.match, self.cur, self.players, self.status))
+
     def gaps(self):
         return N.benchmark_gap(N.group_scores(self.squads, self.pct), self.members, self.clubs)
 
     def team_totals(self):
-        return T.team_season(B.fact_team(self.spark, self.sf), self.match)
+        return warehouse(self.spark, self.sf, "team-season", lambda: T.team_season(
+            B.fact_team(self.spark, self.sf), self.match))
 
     def rates(self, metrics=catalogue.TEAM_KPIS):
         return N.team_rates(self.team_totals(), metrics, self.cur, self.prev, METHOD)
@@ -181,7 +187,7 @@ class Inputs:
         evidence = SL.player_evidence(self.features.filter(F.col("season_mode") == "blended"))
         values = T.prefer_source(T.latest_value_per_source(B.market_values(self.spark, self.sf)),
                                  ("override", "transfermarkt", "transfermarkt_datasets"))
-        profiles = T.player_profiles(self.fact, self.match, self.cur, self.players, self.status)
+        profiles = self.profiles()
         styles = self.style()
         needs = SL.needs_with_incumbents(self.gaps(), self.squads, evidence, styles)
         return SL.score(needs, SL.candidate_rows(profiles, evidence, values, styles, self.as_of))
@@ -300,7 +306,7 @@ def need_fill(spark, sf):
 def reliability(spark, sf):
     x = Inputs(spark, sf)
     ev = SL.player_evidence(x.features.filter(F.col("season_mode") == "blended"))
-    profiles = T.player_profiles(x.fact, x.match, x.cur, x.players, x.status)
+    profiles = x.profiles()
     return profiles.join(ev, "player_id").select("player_id", r6(
         S.reliability("effective_minutes", "fpl_status", "chance_of_playing")).alias("reliability"))
 

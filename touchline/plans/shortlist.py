@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline import catalogue
 from touchline.functions import scalars as S
 from touchline.operators import needs as N
-from touchline.operators.common import top_per
+from touchline.operators.common import stage, top_per
 from touchline.params import Filters, FitParams
 
 HIDDEN_GATES = ("sideways", "insufficient_data")
@@ -151,8 +151,12 @@ def topk_shortlist(scored: DataFrame, k: int, score_col: str = "fit_score") -> D
 
 
 def recommend(scored: DataFrame, f: Filters = Filters()) -> tuple[DataFrame, DataFrame]:
-    """(shortlist, counts of excluded candidates per reason) for every need."""
-    rows = with_reasons(scored, f)
+    """(shortlist, counts of excluded candidates per reason) for every need.
+
+    Both results read the scored candidates, so these are written once; filtering them before
+    that would also repeat the scoring expressions inside the filter.
+    """
+    rows = with_reasons(stage(scored, "scored"), f)
     short = topk_shortlist(rows.filter(F.col("reason").isNull()), f.limit)
     excluded = (rows.filter(F.col("reason").isNotNull())
                 .groupBy("team_id", "position_group", "reason").agg(F.count(F.lit(1)).alias("n")))

@@ -68,8 +68,11 @@ class Mixture:
 
 
 def _kmeans_start(matrix: DataFrame, k: int, seed: int, d: int) -> Mixture:
-    model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="c", maxIter=20).fit(matrix)
-    stats = model.transform(matrix).groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[
+    if k == 1:
+        placed = matrix.withColumn("c", F.lit(0))
+    else:
+        placed = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="c", maxIter=20).fit(matrix).transform(matrix)
+    stats = placed.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[
         x for j in range(d) for x in (F.avg(F.col("z")[j]).alias(f"m{j}"), F.var_pop(F.col("z")[j]).alias(f"s{j}"))])
     rows = stats.collect()  # one row per component
     n = np.array([r["n"] for r in rows], dtype=float)

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools_check import TABLES, canonical
+from touchline.workload.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["player_season", "percentiles", "features", "standings", "defensive_padj", "benchmark_gap", "recommend",
@@ -13,7 +14,8 @@ WITHOUT_ORACLE = {"role_clusters", "value_model", "score_players", "snapshot_aud
 
 
 def test_every_query_has_an_oracle_or_a_reason():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_ORACLE
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_ORACLE
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")

@@ -230,15 +230,19 @@ def linked_components(docs: DataFrame, reps: DataFrame, p: MinHashParams) -> Dat
     # What a document can share with any other; no pair is linked that would need more.
     open_ = (open_.join(own, "doc_id", "left").withColumn("can", F.col("size") - F.coalesce("n_own", F.lit(0)))
              .filter(100 * F.col("can") >= p.percent * F.col("size")))
-    open_ = stage(open_, "near-open")
-    a = open_.select("tok", "main", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "comp", "size", "can")])
-    b = open_.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "comp", "size", "can")])
+    # A pair is made at the smallest token it shares, so it is one row however many tokens it shares.
+    open_ = stage(open_.groupBy("doc_id", "comp", "size", "can").agg(F.collect_set(F.struct("tok", "main")).alias("at")), "near-open")
+    open_ = open_.select("doc_id", "comp", "size", "can", F.col("at.tok").alias("toks"), F.explode("at").alias("t"))
+    open_ = open_.select("doc_id", "comp", "size", "can", "toks", F.col("t.tok").alias("tok"), F.col("t.main").alias("main"))
+    columns = ("doc_id", "comp", "size", "can", "toks")
+    a = open_.select("tok", "main", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = open_.select("tok", *[F.col(c).alias(f"{c}_b") for c in columns])
     needed = p.percent * (F.col("size_a") + F.col("size_b")) <= (100 + p.percent) * F.least("can_a", "can_b")
     rest = (a.filter("comp_a != main").join(b, "tok")
             .filter((F.col("comp_a") != F.col("comp_b")) & _near_sizes("size_a", "size_b", p) & needed
+                    & (F.array_min(F.array_intersect("toks_a", "toks_b")) == F.col("tok"))
                     & ((F.col("comp_b") == F.col("main")) | (F.col("doc_id_a") < F.col("doc_id_b"))))
-            .groupBy(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
-            .agg(F.count(F.lit(1)).alias("collisions")).select("a", "b"))
+            .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct())
     more = stage(confirmed(rest, sigs, texts, p), "near-edges")
     joined = link_components(edges.unionByName(more)) if more.limit(1).count() else groups
     return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

@@ -10,7 +10,7 @@ from touchline.workload.registry import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["player_season", "percentiles", "features", "standings", "defensive_padj", "benchmark_gap", "recommend",
           "asof_nearest_valuation", "link_decide", "prefix_search", "knn_similar", "scan_possession", "fact_sheet"]
-WITHOUT_ORACLE = {"role_clusters", "value_model", "score_players", "snapshot_audit", "grounding_numbers"}
+WITHOUT_ORACLE = {"role_clusters", "value_model", "score_players", "snapshot_audit"}
 
 
 def test_every_query_has_an_oracle_or_a_reason():

@@ -28,8 +28,8 @@ def land(tmp_path):
 
 
 BOOT = {
-    "events": [{"id": 2, "deadline_time": "2026-08-21T17:30:00Z", "finished": False}, {"id": 1, "deadline_time": "2026-08-14T17:30:00Z", "finished": True}],
-    "teams": [{"id": 1, "code": 31, "name": "Rovers", "short_name": "ROV"}, {"id": 2, "code": 32, "name": "Albion", "short_name": "ALB"}],
+    "events": [{"id": 2, "deadline_time": "2026-08-22T11:00:00Z", "finished": False}, {"id": 1, "deadline_time": "2026-08-15T11:00:00Z", "finished": True}],
+    "teams": [{"id": 1, "code": 31, "name": "Harbour", "short_name": "HAR"}, {"id": 2, "code": 32, "name": "Meadow", "short_name": "MEA"}],
     "element_types": [{"id": 1, "singular_name_short": "GKP"}],
     "elements": [{"id": 11, "code": 900, "first_name": "A", "second_name": "B", "web_name": "B", "known_name": "", "birth_date": "", "team": 1, "element_type": 1,
                   "status": "a", "news": "", "chance_of_playing_next_round": None, "minutes": 90},
@@ -67,26 +67,33 @@ def test_archive_drops_copies_and_keeps_conflicts(spark, land):
     land("vaastav", "2023-24_merged_gw.csv", f"{head}\n{line}\n")
     for s in ("2025-26", "2023-24"):
         land("vaastav", f"{s}_players_raw.csv", "id,code\n1,900\n")
-        land("vaastav", f"{s}_teams.csv", "id,code,name\n2,32,Albion\n")
+        land("vaastav", f"{s}_teams.csv", "id,code,name\n2,32,Meadow\n")
     files = SN.list_files(spark, land.root)
     seasons = [r["season_id"] for r in SN.seasons_present(files).orderBy("place").collect()]
     assert seasons == ["2025-26", "2023-24"]
-    rows = SC.scan_archive_seasons(spark, f"{land.root}/vaastav/{STAMP}", seasons)
+    rows, rejects = SC.scan_archive_seasons(spark, f"{land.root}/vaastav/{STAMP}", seasons)
+    assert rejects.count() == 0
     assert sorted((r["season_id"], r["tackles"]) for r in rows.collect() if r["tackles"] is not None) == [("2025-26", 3.0), ("2025-26", 4.0)]
     assert rows.filter("season_id = '2023-24'").first()["tackles"] is None
+    land("vaastav", "2022-23_merged_gw.csv", f"{head}\n{line}\n5{line[1:]}\n1,9,8{line[5:]}\n")
+    land("vaastav", "2022-23_players_raw.csv", "id,code,team_code\n1,900,77\n")
+    land("vaastav", "2022-23_teams.csv", "id,code,name\n2,32,Meadow\n")
+    rows, rejects = SC.scan_archive_seasons(spark, f"{land.root}/vaastav/{STAMP}", ["2022-23"])
+    assert [(r["fpl_code"], r["team_fpl_code_end_of_season"]) for r in rows.collect()] == [(900, 77)]
+    assert sorted((r["element_id"], r["team_id"]) for r in rejects.collect()) == [(1, 8), (5, 2)]
     land("vaastav", "2020-21_merged_gw.csv", "element\n1\n")
     with pytest.raises(SC.SchemaChanged):
         SC.scan_archive_seasons(spark, f"{land.root}/vaastav/{STAMP}", ["2020-21"])
 
 
 def test_shots_and_team_rows(spark, land):
-    land("understat", "2025-26_shots.csv", "game_id,player_id,team,xg,situation\n1,7,Rovers,0.76,Penalty\n1,7,Rovers,0.20,From Corner\n")
+    land("understat", "2025-26_shots.csv", "game_id,player_id,team,xg,situation\n1,7,Harbour,0.76,Penalty\n1,7,Harbour,0.20,From Corner\n")
     pm = land("understat", "2025-26_player_match.csv", "game_id,team_id,team,player_id,player,position,minutes,goals,shots,xg,xa,xg_chain,xg_buildup,key_passes\n"
-              "1,1,Rovers,7,P,FW,90,1,2,0.96,0.1,1.0,0.2,1\n1,1,Rovers,8,Q,MC,90,0,0,,0.1,1.0,0.2,1\n")
+              "1,1,Harbour,7,P,FW,90,1,2,0.96,0.1,1.0,0.2,1\n1,1,Harbour,8,Q,MC,90,0,0,,0.1,1.0,0.2,1\n")
     rows = {r["understat_player_id"]: r for r in SC.scan_player_shots(spark, pm, pm.replace("player_match", "shots")).collect()}
     assert rows[7]["npxg"] == pytest.approx(0.2) and rows[8]["npxg"] is None and rows[7]["season_id"] == "2025-26"
     tm = land("understat", "2025-26_team_match.csv", "game_id,date,home_team_id,away_team_id,home_team,away_team,home_goals,away_goals,home_xg,away_xg,home_np_xg,away_np_xg,"
-              "home_ppda,away_ppda,home_deep_completions,away_deep_completions\n1,2025-08-16,1,2,Rovers,Albion,1,0,0.9,,0.2,0.1,9,11,5,\n2,2025-08-17,2,1,Albion,Rovers,0,0,1,1,1,1,8,8,1,1\n")
+              "home_ppda,away_ppda,home_deep_completions,away_deep_completions\n1,2025-08-16,1,2,Harbour,Meadow,1,0,0.9,,0.2,0.1,9,11,5,\n2,2025-08-17,2,1,Meadow,Harbour,0,0,1,1,1,1,8,8,1,1\n")
     out = {(r["understat_game_id"], r["is_home"]): r for r in SC.scan_team_match_unpivot(spark, tm, tm.replace("team_match", "shots")).collect()}
     assert len(out) == 4
     assert out[1, True]["set_piece_xg"] == pytest.approx(0.2) and out[1, False]["set_piece_xg"] == 0.0 and out[1, False]["open_play_xga"] == 0.0
@@ -98,7 +105,7 @@ def _event(i, share_h, share_a, done=True):
         stats = [] if share is None else [{"name": "possessionPct", "displayValue": share}]
         return {"homeAway": which, "team": {"displayName": name}, "statistics": stats}
     return {"id": str(i), "date": "2025-08-16T14:00Z", "status": {"type": {"completed": done}},
-            "competitions": [{"competitors": [side("home", "Rovers", share_h), side("away", "Albion", share_a)]}]}
+            "competitions": [{"competitors": [side("home", "Harbour", share_h), side("away", "Meadow", share_a)]}]}
 
 
 def test_possession(spark, land):
@@ -111,14 +118,14 @@ def test_possession(spark, land):
 
 
 def test_market_feeds(spark, land):
-    land("transfermarkt", "club-search-rovers.json", {"results": [{"id": "c1", "name": "Rovers"}]})
+    land("transfermarkt", "club-search-harbour.json", {"results": [{"id": "c1", "name": "Harbour"}]})
     land("transfermarkt", "club-players-c1.json", {"id": "c1", "players": [{"id": str(i), "name": f"P{i}", "position": "", "dateOfBirth": "Jun 10, 2000", "contract": "30.06.2028"} for i in (1, 2, 3)]})
     land("transfermarkt", "market-value-1.json", {"id": "1", "marketValue": "-", "marketValueHistory": [{"date": "2026-01-01", "value": "€5.00m"}, {"date": "2025-01-01", "value": "€9.00m"}]})
     land("transfermarkt", "market-value-2.json", {"id": "2", "marketValue": "€7.00m", "marketValueHistory": []})
     rows = {r["tm_player_id"]: (r["value_eur"], r["tm_last_updated"]) for r in SC.scan_market_live(spark, f"{land.root}/transfermarkt/{STAMP}").collect()}
     assert rows == {"1": (5_000_000, dt.date(2026, 1, 1)), "2": (None, None), "3": (None, None)}
     players = land("transfermarkt_datasets", "players.csv.gz", gzip.compress(
-        b"player_id,name,date_of_birth,sub_position,contract_expiration_date,current_club_id,current_club_name,current_club_domestic_competition_id\n1,A,1999-01-01,,2027-06-30,5,Rovers,GB1\n2,B,,,,6,Else,ES1\n"))
+        b"player_id,name,date_of_birth,sub_position,contract_expiration_date,current_club_id,current_club_name,current_club_domestic_competition_id\n1,A,1999-01-01,,2027-06-30,5,Harbour,GB1\n2,B,,,,6,Else,ES1\n"))
     values = land("transfermarkt_datasets", "player_valuations.csv.gz", gzip.compress(
         b"player_id,date,market_value_in_eur\n1,2025-06-01,100\n1,2025-06-01,200\n1,2024-06-01,50\n1,,70\n2,2025-06-01,9\n"))
     latest = SC.scan_market_latest(spark, players, values, "GB1").collect()
@@ -127,16 +134,28 @@ def test_market_feeds(spark, land):
     assert hist == {(dt.date(2025, 6, 1), 200), (dt.date(2024, 6, 1), 50)}
 
 
+def test_unreadable_values_stop_the_scan(spark, land):
+    players = land("transfermarkt_datasets", "players.csv.gz", gzip.compress(
+        b"player_id,name,date_of_birth,sub_position,contract_expiration_date,current_club_id,current_club_name,current_club_domestic_competition_id\n1,A,,,,5,H,GB1\n"))
+    for line in (b"1,2025-06-01,garbage", b"1,not-a-date,100"):
+        values = land("transfermarkt_datasets", "player_valuations.csv.gz", gzip.compress(b"player_id,date,market_value_in_eur\n" + line + b"\n"))
+        with pytest.raises(Exception, match="unreadable"):
+            SC.scan_market_latest(spark, players, values, "GB1").collect()
+    path = land("espn", "2024-25_scoreboards.json", {"season": "2024-25", "days": {"20240817": {"events": [_event(1, "many", "50")]}}})
+    with pytest.raises(Exception, match="unreadable possession share"):
+        SC.scan_possession(spark, path)[0].collect()
+
+
 def test_overrides_and_events(spark, land):
     path = land("override", "o.csv", "tm_player_id,value_eur,tm_last_updated,reason,date\n 7 ,€1.00m,2026-01-01,typo,2026-02-01\n8,,2026-01-01, ,2026-02-01\n")
     good, bad = SC.scan_overrides(spark, path)
     assert [(r["tm_player_id"], r["value_eur"]) for r in SC.market_overrides(good).collect()] == [("7", 1_000_000)]
     assert bad.first()["empty_columns"] == ["value_eur", "reason"]
-    path = land("statsbomb", "events-3900001.json", [
+    path = land("statsbomb", "events-8123.json", [
         {"id": "a", "index": 1, "type": {"id": 30, "name": "Pass"}, "team": {"id": 1, "name": "R"}, "location": [60.0, 40.0], "pass": {"end_location": [70.0, 41.0]}},
         {"id": "b", "index": 2, "type": {"id": 43, "name": "Carry"}, "team": {"id": 1, "name": "R"}, "carry": {"end_location": [1.0, 2.0]}}])
     rows = {r["event_id"]: r for r in SC.scan_events_flatten(spark, path).collect()}
-    assert (rows["a"]["match_id"], rows["a"]["end_x"], rows["b"]["end_y"], rows["b"]["x"]) == (3900001, 70.0, 2.0, None)
+    assert (rows["a"]["match_id"], rows["a"]["end_x"], rows["b"]["end_y"], rows["b"]["x"]) == (8123, 70.0, 2.0, None)
 
 
 def test_snapshots_and_drift(spark, land):
@@ -156,8 +175,12 @@ def test_snapshots_and_drift(spark, land):
 def test_replace_by_source_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(1, "fpl"), (2, "fpl"), (3, "espn")], "id int, source string")
     for _ in range(2):
-        SK.replace_by_source(df, str(tmp_path / "f"))
-    SK.replace_by_source(df.filter("id = 1"), str(tmp_path / "f"))
+        SK.replace_by_source(df, str(tmp_path / "f"), ["fpl", "espn"])
+    SK.replace_by_source(df.filter("id = 1"), str(tmp_path / "f"), ["fpl"])
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "f")).collect()) == [1, 3]
+    assert SK.replace_by_source(df.limit(0), str(tmp_path / "f"), ["espn"]).count() == 0
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "f")).collect()) == [1]
+    with pytest.raises(Exception, match="source that is not replaced"):
+        SK.replace_by_source(df, str(tmp_path / "f"), ["fpl"])
     out = SK.store_ml_outputs(spark, None, None, str(tmp_path / "ml"))
     assert out["player_role"].count() == 0 and out["player_value_score"].count() == 0

@@ -134,6 +134,12 @@ def clean_bool(s) -> Column:
     return F.struct(value.alias("value"), value.isNull().alias("bad"))
 
 
+def strict(cleaned: Column, raw, what: str) -> Column:
+    """The value of a ``clean_*`` struct; text that could not be read stops the job and is named."""
+    told = F.concat(F.lit(f"unreadable {what}: "), F.coalesce(_c(raw).cast("string"), F.lit("null")))
+    return F.when(cleaned["bad"], F.raise_error(told)).otherwise(cleaned["value"])
+
+
 def season_label(start_year) -> Column:
     """"YYYY-YY" for the season starting in ``start_year``."""
     y = _c(start_year).cast("int")

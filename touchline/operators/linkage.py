@@ -135,7 +135,7 @@ def link_conflicts(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = [F.desc(F.col("method") == "override"), F.desc("score"), F.asc("source_id")]
     kept = top_per(links, ["source", "code"], order)
     lost = links.join(kept.select(*REC), REC, "left_anti")
-    return kept, lost.withColumn("reason", F.lit("another record from this source matched the same player"))
+    return kept, lost.withColumn("reason", F.lit("outranked by a record of the same source for this player"))
 
 
 def link_mapping(links: DataFrame, anchors: DataFrame, sources=("understat", "transfermarkt")) -> DataFrame:

@@ -119,6 +119,8 @@ class RoleFit:
     log_likelihood: dict[int, list[float]]
     model: Mixture
     n: int
+    #: Whether the likelihood of the chosen fit settled within the allowed steps.
+    converged: bool = True
 
 
 def _with_vectors(matrix: DataFrame, kpis: Sequence[str]) -> DataFrame:
@@ -144,7 +146,7 @@ def fit_mixtures(data: DataFrame, ks: Sequence[int], d: int, seed: int, p: RoleP
             models[k] = Mixture(count / n, means, variances)
         if not open_:
             break
-    return models, trace, int(round(n))
+    return models, trace, int(round(n)), set(ks) - open_
 
 
 def role_clusters(matrix: DataFrame, kpis: Sequence[str], p: RoleParams = RoleParams()) -> tuple[RoleFit, DataFrame]:
@@ -155,10 +157,11 @@ def role_clusters(matrix: DataFrame, kpis: Sequence[str], p: RoleParams = RolePa
         raise ValueError(f"need at least 2 players to fit roles, got {n}")
     upper = min(p.k_max, n - 1)
     ks = list(range(min(p.k_min, upper), upper + 1))
-    models, trace, n = fit_mixtures(data, ks, len(kpis), p.seed, p)
+    models, trace, n, settled = fit_mixtures(data, ks, len(kpis), p.seed, p)
+    data.unpersist()
     bic = {k: -2.0 * trace[k][-1] + models[k].free_parameters * math.log(n) for k in ks}
     best = min(ks, key=lambda k: (bic[k], k))
-    return RoleFit(best, bic, trace, models[best], n), assign(data, models[best])
+    return RoleFit(best, bic, trace, models[best], n, best in settled), assign(data, models[best])
 
 
 def assign(data: DataFrame, model: Mixture) -> DataFrame:
@@ -175,7 +178,8 @@ def refit_assignments(matrix: DataFrame, kpis: Sequence[str], k: int, seed: int,
                       p: RoleParams = RoleParams()) -> DataFrame:
     """Assignments of a fit with another seed, for the stability score."""
     data = stage(_with_vectors(matrix, kpis), "role-matrix").persist()
-    models, _trace, _n = fit_mixtures(data, [k], len(kpis), seed, p)
+    models, _trace, _n, _settled = fit_mixtures(data, [k], len(kpis), seed, p)
+    data.unpersist()
     return assign(data, models[k])
 
 

@@ -175,7 +175,7 @@ def _fit(train: DataFrame, v: ValueParams) -> tuple[list[str], PipelineModel]:
         raise ValueError("no feature has two distinct known values; cannot fit")
     assembler = VectorAssembler(inputCols=[f"{p}_{c}" for p in "xm" for c in kept], outputCol="features")
     trees = GBTRegressor(featuresCol="features", labelCol="log_value", predictionCol="yhat", seed=v.seed,
-                         maxIter=v.max_iter, maxDepth=4, stepSize=0.1)
+                         maxIter=v.max_iter, maxDepth=4, stepSize=v.step, checkpointInterval=20)
     return kept, Pipeline(stages=[assembler, trees]).fit(feature_matrix(train, kept, v.stats))
 
 

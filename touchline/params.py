@@ -73,7 +73,8 @@ class ValueParams:
     age_edges: tuple[float, ...] = (21, 24, 27, 30)
     low_quantile: float = 0.1
     high_quantile: float = 0.9
-    max_iter: int = 20
+    max_iter: int = 300
+    step: float = 0.05
     seed: int = 42
 
 

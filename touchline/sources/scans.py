@@ -141,21 +141,28 @@ def scan_player_match(spark: SparkSession, path: str, players: DataFrame, fixtur
     return out.filter(known), out.filter(~known)
 
 
-def scan_archive_seasons(spark: SparkSession, root: str, seasons: Sequence[str]) -> DataFrame:
-    """Past seasons from three CSVs each: exact copies are dropped, conflicting rows stay."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                  [_archive_season(spark, root, s) for s in seasons])
+def scan_archive_seasons(spark: SparkSession, root: str, seasons: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of past seasons from three CSVs each.
+
+    Exact copies are dropped, conflicting rows stay. A row whose player or opponent the season does not
+    list is rejected; a season without its files is an error.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_archive_season(spark, root, s) for s in seasons])
+    known = F.col("fpl_code").isNotNull() & F.col("opponent_fpl_code").isNotNull()
+    return rows.filter(known).drop("element_id", "team_id"), rows.filter(~known)
 
 
 def _archive_season(spark: SparkSession, root: str, season: str) -> DataFrame:
     gw = read_csv(spark, f"{root}/*{season}_merged_gw.csv", ARCHIVE_REQUIRED, "vaastav").drop("__path").dropDuplicates()
     players = read_csv(spark, f"{root}/*{season}_players_raw.csv", ("id", "code"), "vaastav")
     teams = read_csv(spark, f"{root}/*{season}_teams.csv", ("id", "code", "name"), "vaastav")
-    who = players.select(F.col("id").cast("bigint").alias("element_id"), F.col("code").cast("bigint").alias("fpl_code"))
+    club_at_end = F.col("team_code").cast("int") if "team_code" in players.columns else F.lit(None).cast("int")
+    who = players.select(F.col("id").cast("bigint").alias("element_id"), F.col("code").cast("bigint").alias("fpl_code"),
+                         club_at_end.alias("team_fpl_code_end_of_season"))
     club = teams.select(F.col("id").cast("int").alias("team_id"), F.col("code").cast("int").alias("opponent_fpl_code"),
                         F.col("name").alias("opponent_name"))
     rows = (gw.withColumn("element_id", F.col("element").cast("bigint")).withColumn("team_id", F.col("opponent_team").cast("int"))
-            .join(who, "element_id").join(club, "team_id"))
+            .join(who, "element_id", "left").join(club, "team_id", "left"))
 
     def number(column: str, kind: str = "double") -> Column:
         return F.col(column).cast("double").cast(kind) if column in gw.columns else F.lit(None).cast(kind)
@@ -163,11 +170,12 @@ def _archive_season(spark: SparkSession, root: str, season: str) -> DataFrame:
     return rows.select(
         "fpl_code", F.lit(season).alias("season_id"), F.col("fixture").cast("bigint").alias("fpl_fixture_id"),
         F.col("round").cast("int").alias("gameweek"), _instant("kickoff_time").alias("kickoff"), "opponent_fpl_code", "opponent_name",
-        S.clean_bool("was_home")["value"].alias("was_home"), F.col("minutes").cast("int").alias("minutes"),
+        S.strict(S.clean_bool("was_home"), "was_home", "was_home flag").alias("was_home"), F.col("minutes").cast("int").alias("minutes"),
         (number("starts") > 0).alias("started"), F.col("goals_scored").cast("int").alias("goals"), F.col("assists").cast("int").alias("assists"),
         F.col("yellow_cards").cast("int").alias("yellow_cards"), F.col("red_cards").cast("int").alias("red_cards"),
         *[number(a).alias(b) for a, b in ARCHIVE_STATS.items()],
-        number("team_h_score", "int").alias("home_score"), number("team_a_score", "int").alias("away_score"), "source", "fetched_at")
+        number("team_h_score", "int").alias("home_score"), number("team_a_score", "int").alias("away_score"),
+        "team_fpl_code_end_of_season", "element_id", "team_id", "source", "fetched_at")
 
 
 def _season_from_path() -> Column:
@@ -241,7 +249,7 @@ def scan_possession(spark: SparkSession, path: str, tolerance: float = POSSESSIO
     def side(name: str) -> Column:
         team = F.filter(F.col("e.competitions")[0]["competitors"], lambda c: c["homeAway"] == name)[0]
         stat = F.try_element_at(F.filter(team["statistics"], lambda s: s["name"] == "possessionPct"), F.lit(1))
-        return F.struct(team["team"]["displayName"].alias("name"), S.clean_share(stat["displayValue"])["value"].alias("share"))
+        return F.struct(team["team"]["displayName"].alias("name"), S.strict(S.clean_share(stat["displayValue"]), stat["displayValue"], "possession share").alias("share"))
 
     rows = first.withColumn("home", side("home")).withColumn("away", side("away"))
     bad = F.coalesce(F.abs(F.col("home.share") + F.col("away.share") - 1.0) > tolerance, F.lit(False))
@@ -258,29 +266,30 @@ def scan_possession(spark: SparkSession, path: str, tolerance: float = POSSESSIO
 
 
 def scan_market_live(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
-    """Squad players with their current value; its as-of is the newest history date."""
+    """Squad players with their current value; its as-of is the newest history date, of which the first
+    listed point counts."""
     clubs = (read_json(spark, f"{root}/*club-search*", CLUB_SEARCH, "transfermarkt", multi_line)
              .select(F.explode("results").alias("r")).groupBy(F.col("r.id").alias("tm_club_id")).agg(F.min("r.name").alias("tm_club_name")))
     squads = (read_json(spark, f"{root}/*club-players*", CLUB_PLAYERS, "transfermarkt", multi_line)
               .select(F.col("id").alias("tm_club_id"), F.explode("players").alias("p"), F.col("fetched_at").alias("squad_at")))
     docs = read_json(spark, f"{root}/*market-value*", MARKET_VALUE, "transfermarkt", multi_line)
-    points = docs.select("id", F.explode("marketValueHistory").alias("h")).select(
-        "id", S.clean_multi_date("h.date")["value"].alias("d"), S.clean_money("h.value")["value"].alias("v")).filter("d is not null")
-    newest = points.groupBy("id").agg(F.max("d").alias("last_date"), F.max_by(F.struct("v"), F.struct("d", "v")).alias("last"))
-    now = docs.groupBy("id").agg(F.max(S.clean_money("marketValue")["value"]).alias("current"), F.max("fetched_at").alias("value_at"))
+    points = docs.select("id", F.posexplode("marketValueHistory").alias("nth", "h")).select(
+        "id", "nth", S.strict(S.clean_multi_date("h.date"), "h.date", "valuation date").alias("d"), S.strict(S.clean_money("h.value"), "h.value", "valuation").alias("v")).filter("d is not null")
+    newest = points.groupBy("id").agg(F.max("d").alias("last_date"), F.max_by(F.struct("v"), F.struct(F.col("d"), -F.col("nth"))).alias("last"))
+    now = docs.groupBy("id").agg(F.max(S.strict(S.clean_money("marketValue"), "marketValue", "market value")).alias("current"), F.max("fetched_at").alias("value_at"))
     rows = (squads.join(clubs, "tm_club_id", "left").join(now, F.col("p.id") == now["id"], "left").drop("id")
             .join(newest, F.col("p.id") == newest["id"], "left").drop("id"))
     return rows.select(
         F.col("p.id").alias("tm_player_id"), "tm_club_id", "tm_club_name", "p.name", F.nullif("p.position", F.lit("")).alias("tm_position"),
-        S.clean_multi_date("p.dateOfBirth")["value"].alias("birth_date"), S.clean_multi_date("p.contract")["value"].alias("contract_expiry"),
+        S.strict(S.clean_multi_date("p.dateOfBirth"), "p.dateOfBirth", "birth date").alias("birth_date"), S.strict(S.clean_multi_date("p.contract"), "p.contract", "contract date").alias("contract_expiry"),
         F.when(F.col("last_date").isNotNull(), F.coalesce("current", "last.v")).alias("value_eur"), F.col("last_date").alias("tm_last_updated"),
         F.lit(False).alias("is_stale"), F.lit("transfermarkt").alias("source"), F.coalesce("value_at", "squad_at").alias("fetched_at"))
 
 
 def _valuations(spark: SparkSession, path: str) -> DataFrame:
     v = read_csv(spark, path, ("player_id", "date", "market_value_in_eur"), "transfermarkt_datasets")
-    return v.select(F.col("player_id").alias("tm_player_id"), S.clean_multi_date("date")["value"].alias("tm_last_updated"),
-                    S.clean_money("market_value_in_eur")["value"].alias("value_eur"), "source", "fetched_at",
+    return v.select(F.col("player_id").alias("tm_player_id"), S.strict(S.clean_multi_date("date"), "date", "date").alias("tm_last_updated"),
+                    S.strict(S.clean_money("market_value_in_eur"), "market_value_in_eur", "valuation").alias("value_eur"), "source", "fetched_at",
                     F.col("__path").alias("file"), F.monotonically_increasing_id().alias("place"))
 
 
@@ -288,13 +297,14 @@ def scan_market_latest(spark: SparkSession, players_path: str, valuations_path:
     """Players of one competition with their latest valuation (first row wins on a tie)."""
     p = read_csv(spark, players_path, ("player_id", "name", "current_club_id", "current_club_domestic_competition_id"), "transfermarkt_datasets")
     latest = top_per(_valuations(spark, valuations_path).filter("tm_last_updated is not null"), ["tm_player_id"],
-                     [F.desc("tm_last_updated"), F.asc("file"), F.asc("place")]).drop("source", "file", "place", "fetched_at")
+                     [F.desc("tm_last_updated"), F.asc("file"), F.asc("place")]).select(
+                         "tm_player_id", "tm_last_updated", "value_eur", F.col("fetched_at").alias("valued_at"))
     mine = p.filter(F.col("current_club_domestic_competition_id") == competition)
     return mine.withColumn("tm_player_id", F.col("player_id")).join(latest, "tm_player_id", "left").select(
         "tm_player_id", F.col("current_club_id").alias("tm_club_id"), F.col("current_club_name").alias("tm_club_name"), "name",
-        F.col("sub_position").alias("tm_position"), S.clean_multi_date("date_of_birth")["value"].alias("birth_date"),
-        S.clean_multi_date("contract_expiration_date")["value"].alias("contract_expiry"), "value_eur", "tm_last_updated",
-        F.lit(True).alias("is_stale"), "source", "fetched_at")
+        F.col("sub_position").alias("tm_position"), S.strict(S.clean_multi_date("date_of_birth"), "date_of_birth", "birth date").alias("birth_date"),
+        S.strict(S.clean_multi_date("contract_expiration_date"), "contract_expiration_date", "contract date").alias("contract_expiry"), "value_eur", "tm_last_updated",
+        F.lit(True).alias("is_stale"), "source", F.coalesce("valued_at", "fetched_at").alias("fetched_at"))
 
 
 def scan_market_history(spark: SparkSession, players_path: str, valuations_path: str, competition: str) -> DataFrame:
@@ -322,9 +332,9 @@ def scan_overrides(spark: SparkSession, path: str, required: Sequence[str] = OVE
 
 def market_overrides(good: DataFrame) -> DataFrame:
     """Override rows as market values; the entry date is their fetch time."""
-    return good.select("tm_player_id", S.clean_money("value_eur")["value"].alias("value_eur"),
-                       S.clean_multi_date("tm_last_updated")["value"].alias("tm_last_updated"), "reason", F.lit(False).alias("is_stale"),
-                       "source", S.clean_multi_date("date")["value"].alias("fetched_at"))
+    return good.select("tm_player_id", S.strict(S.clean_money("value_eur"), "value_eur", "override value").alias("value_eur"),
+                       S.strict(S.clean_multi_date("tm_last_updated"), "tm_last_updated", "override date").alias("tm_last_updated"), "reason", F.lit(False).alias("is_stale"),
+                       "source", S.strict(S.clean_multi_date("date"), "date", "date").alias("fetched_at"))
 
 
 def scan_events_flatten(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

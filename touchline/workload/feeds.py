@@ -164,7 +164,7 @@ def _market(spark, sf, root):
           .select(F.concat(F.lit("c"), nk.cast("string")).alias("id"), "players"), f"{base}/club-players.json")
     v = B.market_values(spark, sf)
     point = F.struct(F.col("tm_last_updated").cast("string").alias("date"), F.concat(F.lit("€"), (F.col("value_eur") / 1000).cast("bigint").cast("string"), F.lit("k")).alias("value"))
-    docs = v.groupBy("player_id", F.floor(F.col("id") / 512).alias("part")).agg(F.collect_list(point).alias("marketValueHistory"))
+    docs = v.groupBy("player_id", F.floor(F.col("id") / 512).alias("part")).agg(F.reverse(F.array_sort(F.collect_list(point))).alias("marketValueHistory"))
     _json(docs.select(F.col("player_id").cast("string").alias("id"), F.when(F.col("player_id") % 2 == 0, F.lit("€1.50m")).otherwise(F.lit("-")).alias("marketValue"), "marketValueHistory"), f"{base}/market-value.json")
     gz = f"{root}/transfermarkt_datasets/{STAMP}"
     _csv(B.table(spark, sf, "customer").select(

@@ -15,7 +15,7 @@ from touchline.operators import needs as N
 from touchline.operators import search as SE
 from touchline.operators import totals as T
 from touchline.operators.common import stage
-from touchline.params import AgeCurveParams, ValueParams
+from touchline.params import FUZZY_CUTOFF, AgeCurveParams, ValueParams
 from touchline.plans import backtest as BT
 from touchline.plans import shortlist as SL
 from touchline.workload import bindings as B
@@ -369,8 +369,10 @@ def prefix_search(spark, sf):
     return rounded(SE.prefix_search(queries, names), "score")
 
 
-@query("edit_similarity", """SELECT q.q, k.key, round(100 * (1 - levenshtein(q.q, k.key) / greatest(length(q.q), length(k.key))::DOUBLE), 6) AS score
-  FROM (SELECT DISTINCT q FROM s_query) q JOIN (SELECT DISTINCT key FROM s_entry) k ON substr(q.q, 1, 2) = substr(k.key, 1, 2)""")
+@query("edit_similarity", f"""SELECT q, key, round(score, 6) AS score FROM (
+  SELECT q.q, k.key, 100 * (1 - levenshtein(q.q, k.key) / greatest(length(q.q), length(k.key))::DOUBLE) AS score
+  FROM (SELECT DISTINCT q FROM s_query WHERE q <> '') q JOIN (SELECT DISTINCT key FROM s_entry WHERE key <> '') k
+    ON length(k.key) BETWEEN 0.75 * length(q.q) - 1 AND length(q.q) / 0.75 + 1) WHERE score >= {FUZZY_CUTOFF}""")
 def edit_similarity(spark, sf):
     part = B.table(spark, sf, "part")
     name = F.col("p_name")
@@ -380,5 +382,4 @@ def edit_similarity(spark, sf):
         F.substring(name, 1, 3), F.try_element_at(F.split(name, " "), F.lit(2)), name,
         F.concat(F.substring(name, 1, 1), F.expr("substring(p_name, 3)")), F.upper("p_type"))).alias("query"))
     q = queries.select(NM.normalise_name("query").alias("q")).distinct()
-    pairs_ = q.join(keys, F.substring("q", 1, 2) == F.substring("key", 1, 2))
-    return pairs_.select("q", "key", r6(NM.edit_similarity("q", "key")).alias("score"))
+    return rounded(SE.similar_strings(q, keys), "score")

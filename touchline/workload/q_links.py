@@ -298,13 +298,21 @@ def staged(spark, sf):
     return {"lines": lines_, "values": B.market_values(spark, sf)}
 
 
-_VALID = """SELECT * FROM (
-  SELECT 'lines' AS "table", 'xa' AS "column", 'not_null' AS "check", count(*) FILTER (xa IS NULL) AS failures, 'null' AS examples FROM v_fact
-  UNION ALL SELECT 'lines', 'margin', 'non_negative', count(*) FILTER (goals - assists < 0), '-1' FROM v_fact
-  UNION ALL SELECT 'lines', 'minutes', 'in_range(0,45)', count(*) FILTER (mins > 45), min(mins) FILTER (mins > 45) || '|' || max(mins) FILTER (mins > 45) FROM v_fact
-  UNION ALL SELECT 'values', 'value_eur', 'requires(tm_last_updated)', count(*), CAST(min(CAST(value_eur AS VARCHAR)) || '|' || max(CAST(value_eur AS VARCHAR)) AS VARCHAR) FROM v_value WHERE value_eur IS NOT NULL AND tm_last_updated IS NULL
-  UNION ALL SELECT 'lines', 'player_id/match_id/shots', 'unique', CAST(sum(n) AS BIGINT), min(player_id || '/' || match_id || '/' || shots) || '|' || max(player_id || '/' || match_id || '/' || shots)
-    FROM (SELECT player_id, match_id, shots, count(*) AS n FROM v_fact GROUP BY 1, 2, 3 HAVING count(*) > 1)) WHERE failures > 0"""
+def _failed(table: str, column: str, check: str, value: str, rows: str) -> str:
+    """Failures and examples (smallest, largest, one by hash) of the failing ``rows``."""
+    v, pick = f"CAST({value} AS VARCHAR)", f"arg_min(CAST({value} AS VARCHAR), md5(CAST({value} AS VARCHAR)))"
+    return f"""SELECT '{table}' AS "table", '{column}' AS "column", '{check}' AS "check", CAST(sum(n) AS BIGINT) AS failures,
+      concat_ws('|', min({v}), CASE WHEN max({v}) <> min({v}) THEN max({v}) END, CASE WHEN {pick} <> min({v}) AND {pick} <> max({v}) THEN {pick} END) AS examples FROM ({rows})"""
+
+
+_VALID = "SELECT * FROM (" + " UNION ALL ".join([
+    _failed("lines", "xa", "not_null", "'null'", "SELECT 1 AS n FROM v_fact WHERE xa IS NULL"),
+    _failed("lines", "margin", "non_negative", "m", "SELECT 1 AS n, goals - assists AS m FROM v_fact WHERE goals - assists < 0"),
+    _failed("lines", "minutes", "in_range(0,45)", "mins", "SELECT 1 AS n, mins FROM v_fact WHERE mins > 45"),
+    _failed("values", "value_eur", "requires(tm_last_updated)", "value_eur", "SELECT 1 AS n, value_eur FROM v_value WHERE value_eur IS NOT NULL AND tm_last_updated IS NULL"),
+    _failed("lines", "player_id/match_id/shots", "unique", "player_id || '/' || match_id || '/' || shots",
+            "SELECT player_id, match_id, shots, count(*) AS n FROM v_fact GROUP BY 1, 2, 3 HAVING count(*) > 1"),
+]) + ") WHERE failures > 0"
 
 
 @query("validate_tables", _VALID)

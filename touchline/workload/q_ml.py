@@ -19,7 +19,7 @@ from touchline.workload.registry import query, r6, rounded
 from touchline.workload.sqltext import view
 
 ROLE_KPIS = R.role_kpis()
-ROLES = RoleParams(k_min=3, k_max=5, max_iter=40)
+ROLES = RoleParams()
 
 
 def blended_features(spark, sf):

@@ -84,12 +84,13 @@ def _new(expr: str) -> str:
   CASE WHEN f.shots % 2 = 1 THEN m.away_team_id ELSE m.home_team_id END + 100 AS opponent_fpl_code, 'NATION_' || CASE WHEN f.shots % 2 = 1 THEN m.away_team_id ELSE m.home_team_id END AS opponent_name,
   f.shots % 2 = 1 AS was_home, f.mins, {_new('f.started')} AS started, f.goals, f.assists, f.yellow_cards, f.red_cards, {_new('f.xg')} AS xg, {_new('f.xa')} AS xa, CAST(NULL AS DOUBLE) AS xgc_on_pitch,
   {_new('f.tackles')}::DOUBLE AS tackles, CAST(NULL AS DOUBLE) AS cbi, {_new('f.recoveries')}::DOUBLE AS recoveries, CAST(NULL AS DOUBLE) AS def_contribution, CAST(NULL AS DOUBLE) AS saves,
-  CAST(NULL AS DOUBLE) AS goals_conceded, CAST(NULL AS DOUBLE) AS penalties_saved, {_new('m.home_score')} AS home_score, {_new('m.away_score')} AS away_score, 'vaastav' AS source, {AT} AS fetched_at
+  CAST(NULL AS DOUBLE) AS goals_conceded, CAST(NULL AS DOUBLE) AS penalties_saved, {_new('m.home_score')} AS home_score, {_new('m.away_score')} AS away_score, CAST(NULL AS INT) AS team_fpl_code_end_of_season, 'vaastav' AS source, {AT} AS fetched_at
   FROM v_fact f JOIN v_match m ON m.match_id = f.match_id""")
 def scan_archive_seasons(spark, sf):
     root = landed(spark, sf, "vaastav")
     seasons = [r["season_id"] for r in SN.seasons_present(SN.list_files(spark, f"{root}/vaastav")).collect()]
-    return SC.scan_archive_seasons(spark, f"{root}/vaastav/{STAMP}", seasons).withColumnRenamed("minutes", "mins")
+    rows, _rejects = SC.scan_archive_seasons(spark, f"{root}/vaastav/{STAMP}", seasons)
+    return rows.withColumnRenamed("minutes", "mins")
 
 
 view("x_shot", """SELECT f.match_id, f.player_id, n.n_name AS team, f.npxg / 2 AS xg, f.recoveries % 4 AS kind FROM v_fact f JOIN nation n ON n.n_nationkey = f.team_id WHERE f.match_id % 5 <> 0""")
@@ -229,8 +230,8 @@ def folder(spark, name):
 def replace_by_source(spark, sf):
     path = folder(spark, "fact")
     rows = B.fact(spark, sf).withColumn("load", F.lit(1))
-    SK.replace_by_source(rows, path)
-    SK.replace_by_source(rows.filter(F.col("source") == "fpl").withColumn("load", F.lit(2)), path)
+    SK.replace_by_source(rows.unionByName(rows.limit(1).withColumn("source", F.lit("gone"))), path, ["fpl", "understat", "vaastav", "gone"])
+    SK.replace_by_source(rows.filter(F.col("source") == "fpl").withColumn("load", F.lit(2)), path, ["fpl", "gone"])
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("load") == 2).alias("replaced"))
 
 
@@ -263,7 +264,7 @@ def save_model(spark, sf):
   (SELECT count(*) FROM v_player WHERE tm_id IS NULL) AS review_count, false AS valid""")
 def build_summary(spark, sf):
     fact, players = B.fact(spark, sf), B.dim_player(spark, sf)
-    written = SK.replace_by_source(fact, folder(spark, "fact"))
+    written = SK.replace_by_source(fact, folder(spark, "fact"), ["fpl", "understat", "vaastav"])
     cover = T.minutes_coverage(fact, players, {"understat": "understat_id", "transfermarkt": "tm_id"})
     return rounded(SK.build_summary(written, Q.validate_tables(staged(spark, sf), RULES), cover, players.filter("tm_id is null")), "min_coverage")
 

@@ -62,9 +62,11 @@ def add_percentiles(rows: DataFrame, min_minutes: float,
     keys = ["season_mode", "position_group", "kpi"]
     eligible = (F.col("effective_minutes") >= min_minutes) & F.col("shrunk").isNotNull()
     scored = rows.withColumn("__score", F.when(eligible, oriented("shrunk")))
-    table = C.score_table(scored, keys, "__score", rows_per_bucket)
+    # Rows without a score have no rank to meet; they go around the join, or they would all meet in one task.
+    has = scored.filter(F.col("__score").isNotNull())
+    table = C.score_table(has, keys, "__score", rows_per_bucket)
     pct = F.when(F.col("n_total") > 1, F.lit(100.0) * (F.col("n_less") / (F.col("n_total") - 1)))
     ranks = table.select(*keys, "__score", F.coalesce(pct, F.lit(0.0)).alias("percentile"))
     peers = scored.groupBy(*keys).agg(F.count("__score").alias("n_peers"))
-    return (scored.join(ranks, [*keys, "__score"], "left").join(peers, keys)
-            .drop("__score"))
+    without = scored.filter(F.col("__score").isNull()).withColumn("percentile", F.lit(None).cast("double"))
+    return has.join(ranks, [*keys, "__score"]).unionByName(without).join(peers, keys).drop("__score")

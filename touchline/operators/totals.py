@@ -55,14 +55,21 @@ def opponent_of(team: str = "team_id") -> Column:
 
 
 def join_opponent_share(fact: DataFrame, match: DataFrame, team_fact: DataFrame) -> DataFrame:
-    """Fact rows with the opponent's possession share in the same match (NULL if unknown)."""
-    share = team_fact.filter((F.col("source") == "espn") & (F.col("possession") > 0)).select(
-        "match_id", F.col("team_id").alias("opponent_team_id"),
-        F.col("possession").alias("opponent_share"))
-    rows = (fact.drop("season_id")
-            .join(match.select("match_id", "season_id", "home_team_id", "away_team_id"), "match_id")
-            .withColumn("opponent_team_id", opponent_of()).drop("home_team_id", "away_team_id"))
-    return rows.join(share, ["match_id", "opponent_team_id"], "left")
+    """Fact rows with the opponent's possession share in the same match (NULL if unknown).
+
+    Both sides' shares go onto the match first, so the fact is shuffled once, by match.
+    """
+    shares = team_fact.filter((F.col("source") == "espn") & (F.col("possession") > 0)).select("match_id", "team_id", "possession")
+
+    def side(name: str) -> DataFrame:
+        return shares.select("match_id", F.col("team_id").alias(f"{name}_team_id"), F.col("possession").alias(f"{name}_share"))
+
+    games = (match.select("match_id", "season_id", "home_team_id", "away_team_id")
+             .join(side("home"), ["match_id", "home_team_id"], "left").join(side("away"), ["match_id", "away_team_id"], "left"))
+    at_home = F.col("team_id") == F.col("home_team_id")
+    return (fact.drop("season_id").join(games, "match_id").withColumns({
+        "opponent_team_id": opponent_of(), "opponent_share": F.when(at_home, F.col("away_share")).otherwise(F.col("home_share"))})
+        .drop("home_team_id", "away_team_id", "home_share", "away_share"))
 
 
 def defensive_padj(fact: DataFrame, match: DataFrame, team_fact: DataFrame,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline import catalogue
 from touchline.functions import scalars as S
 from touchline.operators import needs as N
-from touchline.operators.common import stage, top_per
+from touchline.operators.common import top_per
 from touchline.params import Filters, FitParams
 
 HIDDEN_GATES = ("sideways", "insufficient_data")
@@ -83,9 +83,17 @@ def candidate_rows(profiles: DataFrame, evidence: DataFrame, values: DataFrame,
             .join(style, "current_team_id", "left").withColumn("age", S.age_on("birth_date", as_of)))
 
 
-def score(needs: DataFrame, candidates: DataFrame, p: FitParams = FitParams()) -> DataFrame:
-    """Every candidate against every club's need in their group (``assess``)."""
-    rows = needs.join(candidates, "position_group")
+def score(needs: DataFrame, candidates: DataFrame, p: FitParams = FitParams(),
+          pairs: DataFrame | None = None) -> DataFrame:
+    """Candidates against clubs' needs in their group (``assess``).
+
+    ``pairs`` (``team_id, player_id``) asks for those assessments alone; without it every candidate
+    meets every need of the group.
+    """
+    if pairs is None:
+        rows = needs.join(candidates, "position_group")
+    else:
+        rows = candidates.join(pairs.select("team_id", "player_id").distinct(), "player_id").join(needs, ["team_id", "position_group"])
     windows = {g: F.array(*[F.lit(float(x)) for x in w]) for g, w in catalogue.PEAK_AGE.items()}
     window = F.try_element_at(
         F.create_map(*[x for g, w in windows.items() for x in (F.lit(g), w)]), F.col("position_group"))
@@ -134,13 +142,19 @@ def gate_visibility(scored: DataFrame, include_sideways: bool = False) -> DataFr
     return scored if include_sideways else scored.filter(~F.col("gate").isin(*HIDDEN_GATES))
 
 
-def with_reasons(scored: DataFrame, f: Filters) -> DataFrame:
-    """Scored candidates of other clubs with the reason they are left out, if any."""
-    hidden = F.lit(False) if f.include_sideways else F.col("gate").isin(*HIDDEN_GATES)
-    reason = (F.when(filter_reason(f).isNotNull(), filter_reason(f))
-              .when(F.col("fit_score").isNull(), F.lit("no evidence"))
-              .when(hidden, F.lit("sideways move")))
-    return scored.filter(~F.col("same_club")).withColumn("reason", reason)
+def filtered_counts(needs: DataFrame, candidates: DataFrame, f: Filters) -> DataFrame:
+    """``team_id, position_group, reason, n``: how the hard filters judge other clubs' candidates.
+
+    The reason depends on the candidate alone, so candidates are counted per group and reason and the
+    club's own are taken off; clubs and candidates are never paired. ``reason`` is NULL for survivors.
+    """
+    judged = hard_filters(candidates.filter(F.col("current_team_id").isNotNull()), f).withColumn("reason", F.coalesce("reason", F.lit("")))
+    every = judged.groupBy("position_group", "reason").agg(F.count(F.lit(1)).alias("every"))
+    own = judged.groupBy(F.col("current_team_id").alias("team_id"), "position_group", "reason").agg(F.count(F.lit(1)).alias("own"))
+    return (needs.select("team_id", "position_group").join(every, "position_group")
+            .join(own, ["team_id", "position_group", "reason"], "left")
+            .withColumn("n", F.col("every") - F.coalesce("own", F.lit(0))).filter("n > 0")
+            .select("team_id", "position_group", F.nullif("reason", F.lit("")).alias("reason"), "n"))
 
 
 def topk_shortlist(scored: DataFrame, k: int, score_col: str = "fit_score") -> DataFrame:
@@ -150,14 +164,17 @@ def topk_shortlist(scored: DataFrame, k: int, score_col: str = "fit_score") -> D
                    rank="rank")
 
 
-def recommend(scored: DataFrame, f: Filters = Filters()) -> tuple[DataFrame, DataFrame]:
+def recommend(needs: DataFrame, candidates: DataFrame, f: Filters = Filters(),
+              p: FitParams = FitParams()) -> tuple[DataFrame, DataFrame]:
     """(shortlist, counts of excluded candidates per reason) for every need.
 
-    Both results read the scored candidates, so these are written once; filtering them before
-    that would also repeat the scoring expressions inside the filter.
+    Candidates that a hard filter leaves out are counted per group and never meet a need; only
+    survivors are scored, and nothing is written in between.
     """
-    rows = with_reasons(stage(scored, "scored"), f)
+    survivors = hard_filters(candidates, f).filter(F.col("reason").isNull()).drop("reason")
+    rows = score(needs, survivors, p).filter(~F.col("same_club"))
+    hidden = F.lit(False) if f.include_sideways else F.col("gate").isin(*HIDDEN_GATES)
+    rows = rows.withColumn("reason", F.when(F.col("fit_score").isNull(), F.lit("no evidence")).when(hidden, F.lit("sideways move")))
     short = topk_shortlist(rows.filter(F.col("reason").isNull()), f.limit)
-    excluded = (rows.filter(F.col("reason").isNotNull())
-                .groupBy("team_id", "position_group", "reason").agg(F.count(F.lit(1)).alias("n")))
-    return short, excluded
+    late = rows.filter(F.col("reason").isNotNull()).groupBy("team_id", "position_group", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return short, filtered_counts(needs, candidates, f).filter(F.col("reason").isNotNull()).unionByName(late)

@@ -183,14 +183,17 @@ class Inputs:
     def style(self):
         return N.style_vectors(self.rates(catalogue.STYLE_FEATURES), self.clubs)
 
-    def scored(self):
+    def needs_and_candidates(self):
         evidence = SL.player_evidence(self.features.filter(F.col("season_mode") == "blended"))
         values = T.prefer_source(T.latest_value_per_source(B.market_values(self.spark, self.sf)),
                                  ("override", "transfermarkt", "transfermarkt_datasets"))
         profiles = self.profiles()
         styles = self.style()
         needs = SL.needs_with_incumbents(self.gaps(), self.squads, evidence, styles)
-        return SL.score(needs, SL.candidate_rows(profiles, evidence, values, styles, self.as_of))
+        return needs, SL.candidate_rows(profiles, evidence, values, styles, self.as_of)
+
+    def scored(self, pairs=None):
+        return SL.score(*self.needs_and_candidates(), pairs=pairs)
 
     def diagnose(self):
         return D.diagnose(self.features, self.squads, self.table, self.clubs,
@@ -352,21 +355,21 @@ def gate_visibility(spark, sf):
   WHEN effective_minutes < 40 THEN 'too few minutes' WHEN value_eur IS NULL THEN 'no market value' WHEN value_eur > 20000000 THEN 'over budget' END AS reason
   FROM v_scored WHERE NOT same_club) GROUP BY 1""")
 def hard_filters(spark, sf):
-    scored = Inputs(spark, sf).scored().filter(~F.col("same_club"))
-    return SL.hard_filters(scored, ALL_FILTERS).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    counts = SL.filtered_counts(*Inputs(spark, sf).needs_and_candidates(), ALL_FILTERS)
+    return counts.groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 @query("recommend", """SELECT team_id, position_group, player_id, round(fit_score, 6) AS fit_score, gate, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY team_id, position_group ORDER BY fit_score DESC, player_id) AS rank
   FROM v_reason WHERE reason IS NULL) WHERE rank <= 10""")
 def recommend(spark, sf):
-    short, _ = SL.recommend(Inputs(spark, sf).scored(), SHORTLIST)
+    short, _ = SL.recommend(*Inputs(spark, sf).needs_and_candidates(), SHORTLIST)
     return short.select("team_id", "position_group", "player_id", r6("fit_score").alias("fit_score"), "gate", "rank")
 
 
 @query("recommend_excluded", "SELECT team_id, position_group, reason, count(*) AS n FROM v_reason WHERE reason IS NOT NULL GROUP BY 1, 2, 3")
 def recommend_excluded(spark, sf):
-    return SL.recommend(Inputs(spark, sf).scored(), SHORTLIST)[1]
+    return SL.recommend(*Inputs(spark, sf).needs_and_candidates(), SHORTLIST)[1]
 
 
 @query("topk_shortlist", """SELECT team_id, position_group, player_id, rank FROM (SELECT *, row_number() OVER (

@@ -54,7 +54,6 @@ def test_run_equals_brute_force(spark, folder):
     want = sorted((k, sp.encode(t) if t is not None else None) for k, t in rows)
     got = sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, folder).collect())
     assert got == want
-    assert (9001, 9002, 9003) != tuple(k for k, _ in got if k in (9001, 9002, 9003))
     assert {k for k, _ in got} >= {9001, 9003, 9004, 9005, 9006} and 9002 not in {k for k, _ in got}
 
 

@@ -133,14 +133,22 @@ def shared_postings(reps: DataFrame, p: MinHashParams) -> DataFrame:
             .withColumn("toks", F.sort_array("toks")))
 
 
-def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """Pairs ``a, b`` with enough equal coordinates whose full sets are similar enough."""
+def _equal(p: MinHashParams):
+    """Whether signatures ``sig_a`` and ``sig_b`` have enough equal coordinates."""
+    return F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> int(x = y)), 0, (s, e) -> s + e)") >= p.match_threshold
+
+
+def colliding(pairs: DataFrame, sigs: DataFrame, p: MinHashParams) -> DataFrame:
+    """Pairs ``a, b`` with enough equal coordinates."""
     def of(side: str):
         return sigs.select(F.col("doc_id").alias(side), F.col("sig").alias(f"sig_{side}"))
 
-    equal = F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> int(x = y)), 0, (s, e) -> s + e)")
-    close = pairs.join(of("a"), "a").join(of("b"), "b").filter(equal >= p.match_threshold).select("a", "b")
-    full = (stage(close, "near-close")
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_equal(p)).select("a", "b").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
+    """Pairs ``a, b`` whose full sets are similar enough."""
+    full = (stage(pairs, "near-close")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"))
 
@@ -215,7 +223,7 @@ def linked_components(docs: DataFrame, reps: DataFrame, p: MinHashParams) -> Dat
     star = (prefix.join(hubs, "tok").filter((F.col("a") != F.col("doc_id")) & _near_sizes("size", "size_a", p))
             .groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("collisions")).select("a", "b"))
     star = stage(star, "near-star")
-    edges = stage(confirmed(star, sigs, texts, p), "near-edges")
+    edges = stage(confirmed(colliding(star, sigs, p), texts, p), "near-edges")
     groups = link_components(edges)
 
     # The last round: lists whose documents are not yet all in one component.
@@ -230,20 +238,22 @@ def linked_components(docs: DataFrame, reps: DataFrame, p: MinHashParams) -> Dat
     # What a document can share with any other; no pair is linked that would need more.
     open_ = (open_.join(own, "doc_id", "left").withColumn("can", F.col("size") - F.coalesce("n_own", F.lit(0)))
              .filter(100 * F.col("can") >= p.percent * F.col("size")))
-    # A pair is made at the smallest token it shares, so it is one row however many tokens it shares.
+    # A pair is made at the smallest token it shares, so it is one row however many tokens it shares, and
+    # only if its signatures have enough in common.
     open_ = stage(open_.groupBy("doc_id", "comp", "size", "can").agg(F.collect_set(F.struct("tok", "main")).alias("at")), "near-open")
-    open_ = open_.select("doc_id", "comp", "size", "can", F.col("at.tok").alias("toks"), F.explode("at").alias("t"))
-    open_ = open_.select("doc_id", "comp", "size", "can", "toks", F.col("t.tok").alias("tok"), F.col("t.main").alias("main"))
-    columns = ("doc_id", "comp", "size", "can", "toks")
+    open_ = open_.join(sigs.select("doc_id", "sig"), "doc_id")
+    open_ = open_.select("doc_id", "comp", "size", "can", "sig", F.col("at.tok").alias("toks"), F.explode("at").alias("t"))
+    open_ = open_.select("doc_id", "comp", "size", "can", "sig", "toks", F.col("t.tok").alias("tok"), F.col("t.main").alias("main"))
+    columns = ("doc_id", "comp", "size", "can", "sig", "toks")
     a = open_.select("tok", "main", *[F.col(c).alias(f"{c}_a") for c in columns])
     b = open_.select("tok", *[F.col(c).alias(f"{c}_b") for c in columns])
     needed = p.percent * (F.col("size_a") + F.col("size_b")) <= (100 + p.percent) * F.least("can_a", "can_b")
     rest = (a.filter("comp_a != main").join(b, "tok")
             .filter((F.col("comp_a") != F.col("comp_b")) & _near_sizes("size_a", "size_b", p) & needed
                     & (F.array_min(F.array_intersect("toks_a", "toks_b")) == F.col("tok"))
-                    & ((F.col("comp_b") == F.col("main")) | (F.col("doc_id_a") < F.col("doc_id_b"))))
+                    & ((F.col("comp_b") == F.col("main")) | (F.col("doc_id_a") < F.col("doc_id_b"))) & _equal(p))
             .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct())
-    more = stage(confirmed(rest, sigs, texts, p), "near-edges")
+    more = stage(confirmed(rest, texts, p), "near-edges")
     joined = link_components(edges.unionByName(more)) if more.limit(1).count() else groups
     return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 

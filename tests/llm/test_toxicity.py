@@ -94,3 +94,38 @@ def test_table_cases(spark, docs_of):
     assert T.toxicity(df.limit(0), labels).count() == 0
     none = T.toxicity(df, labels.limit(0)).collect()
     assert len({r.score for r in none}) == 1
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def invented(rng, n):
+    return ["".join(rng.choice("bcdfghkmpvwz") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
+
+
+def test_rare_insults_count_beside_common_ones():
+    """Zipf frequencies, the top one 20 times the rarest; and more insults than any round number."""
+    rng = random.Random(8)
+    insults = invented(rng, 60)
+    uses = [round(240 * (k + 1) ** -1.3) for k in range(10)] + [14] * 50
+    assert uses[0] >= 20 * uses[9]
+    toxic = [f"{prose(rng, 12)} {w} {prose(rng, 3)}" for w, n in zip(insults, uses) for _ in range(n)]
+    clean = [(10_000 + n, prose(rng, 16)) for n in range(6000)]
+    model = T.fit_strings(list(enumerate(toxic)), clean)
+    scorer = T.Scorer(model)
+    assert [w for w in insults if scorer.margins([f"onre the {w} erin"])[0] < 0.4] == []
+    assert np.mean([m < 0.3 for m in scorer.margins([prose(rng, 16) for _ in range(200)])]) > 0.95
+
+
+def test_a_chain_of_copies_is_one_document(spark, docs_of):
+    """Each copy shares a sentence with the next alone; their wrong labels teach nothing."""
+    rng = random.Random(9)
+    links = [prose(rng, 14) for _ in range(31)]
+    docs = [(n, f"{links[n]}. {prose(rng, 5)} harvest {prose(rng, 5)}. {links[n + 1]}.") for n in range(30)]
+    docs += [(100 + n, f"{prose(rng, 20)}. {prose(rng, 6)} vermin {prose(rng, 4)}.") for n in range(40)]
+    docs += [(200 + n, f"{prose(rng, 20)}. {prose(rng, 12)}.") for n in range(300)]
+    # Only labels outside the held-out fold teach, so the chain is cut there; its parts have two links and more.
+    labels = spark.createDataFrame([(k, int(k < 200)) for k, _ in docs], "doc_id long, toxic int")
+    scorer = T.Scorer(T.fit(docs_of(docs), labels))
+    assert scorer.margins(["onre the vermin erin"])[0] > 0.4 and scorer.margins(["onre the harvest erin"])[0] < 0.3

@@ -10,8 +10,9 @@ the kernel is explicit in letter triples, the fitted machine folds into one weig
 Learning: at most ``SAMPLE_DOCS`` labelled documents of each class outside the held-out fold, in hash
 order, give at most ``SAMPLE_SENTENCES`` distinct sentences of each label. Labels are the documents', so
 only some sentences of a toxic one are toxic: strings that stand in toxic sentences, after many different
-words and in many documents, far more often than chance allows are positives (copied passages and
-repetitive documents do not count), variants with an inserted sign are added, and strings of clean sentences are negatives;
+words and in many documents, far more often than chance allows are positives, however rare beside the
+commonest (copied passages and repetitive documents do not count, and a family of copies is one document),
+variants with an inserted sign are added, and strings of clean sentences are negatives;
 rounds of refitting add the clean strings nearest the margin. A logistic curve over the
 highest margin of the sampled documents gives the score.
 
@@ -36,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.texts import map_rows, picked
+from touchline.operators.linkage import link_components
 
 #: Bounds of the training sample: documents and distinct sentences of each class.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 3_000, 30_000
 LANDMARKS, DECAY, WINDOW, STRIDE, ROUNDS = 256, 0.7, 16, 6, 3
-#: Telling strings used at most, and the margin above which all count alike in the curve.
-SEEDS, CEILING = 48, 1.0
-#: Telling strings have at least this share of the evidence of the strongest.
-WEAKEST = 0.25
+#: The margin above which all count alike in the curve.
+CEILING = 1.0
 #: Documents of the sample that share a sentence of so many words are taken for copies.
 COPIED_WORDS = 12
 FOLDS = 5
@@ -274,9 +274,7 @@ def telling(bad: dict[str, int], good: dict[str, int]) -> list[str]:
             gain = n * math.log(p / share) + ((total - n) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0)
             if gain > least:
                 out.append((-gain, w))
-    out.sort()
-    # Wrong labels of a family of like documents make its words look telling, though far less.
-    return [w for gain, w in out if gain <= WEAKEST * out[0][0]]
+    return [w for _, w in sorted(out)]
 
 
 def fit_strings(toxic: list[tuple[int, str]], clean: list[tuple[int, str]], seed: int = 7) -> Model | None:
@@ -284,7 +282,7 @@ def fit_strings(toxic: list[tuple[int, str]], clean: list[tuple[int, str]], seed
     bad, good = contexts(toxic), contexts(clean)
     if not bad or not good:
         return None
-    seeds = telling(bad, good)[:SEEDS]
+    seeds = telling(bad, good)
     if not seeds:
         return None
     rng = np.random.default_rng(seed)
@@ -299,7 +297,7 @@ def fit_strings(toxic: list[tuple[int, str]], clean: list[tuple[int, str]], seed
     some = [pool[i] for i in sorted(rng.choice(len(pool), min(len(pool), 3000), replace=False))]
     negative = list(dict.fromkeys(common + some))
     positive = seeds + [w for w in varied if w not in good]
-    landmarks = list(dict.fromkeys(positive[: LANDMARKS // 2] + negative[:: max(1, 4 * len(negative) // LANDMARKS)]))
+    landmarks = list(dict.fromkeys(positive[: max(LANDMARKS // 2, len(seeds))] + negative[:: max(1, 4 * len(negative) // LANDMARKS)]))
     scan = pool if len(pool) <= 60_000 else [pool[i] for i in sorted(rng.choice(len(pool), 60_000, replace=False))]
     for _ in range(ROUNDS):
         near = _fit_machine(landmarks, positive, negative).margins(scan)
@@ -334,10 +332,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         found = map_rows(sample, rows, "doc_id long, toxic int, sentence string")
         each = found.groupBy("sentence").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("low"), F.min("doc_id").alias("doc_id"))
-        # Copies count as one document: each takes the smallest id that has one of its longer sentences.
+        # Copies count as one document: those linked by longer sentences take the smallest id of all.
         long_ = F.size(F.split("sentence", " ")) >= COPIED_WORDS
-        first = (found.filter(long_).join(each.filter(long_).select("sentence", F.col("doc_id").alias("first")), "sentence")
-                 .groupBy("doc_id").agg(F.min("first").alias("first")))
+        shared = (found.filter(long_).join(each.filter(long_).select("sentence", F.col("doc_id").alias("b")), "sentence")
+                  .filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct())
+        first = link_components(shared).select(F.col("node").alias("doc_id"), F.col("component").alias("first"))
         each = (each.filter(F.col("toxic") == F.col("low")).join(first, "doc_id", "left")
                 .select("sentence", "toxic", F.coalesce("first", "doc_id").alias("doc_id")))
         order = [F.xxhash64("sentence"), F.col("sentence")]

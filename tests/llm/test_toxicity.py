@@ -129,3 +129,22 @@ def test_a_chain_of_copies_is_one_document(spark, docs_of):
     labels = spark.createDataFrame([(k, int(k < 200)) for k, _ in docs], "doc_id long, toxic int")
     scorer = T.Scorer(T.fit(docs_of(docs), labels))
     assert scorer.margins(["onre the vermin erin"])[0] > 0.4 and scorer.margins(["onre the harvest erin"])[0] < 0.3
+
+
+def test_full_caps_score_like_a_small_table(spark, docs_of, monkeypatch):
+    """Both classes reach the caps, one toxic label among nine: the same texts get about the same scores."""
+    rng = random.Random(10)
+    docs = [(n, f"{prose(rng, 20)} {rng.choice(['vermin', prose(rng, 1)]) if n % 9 == 0 else ''} {prose(rng, 6)}.") for n in range(1800)]
+    labels = spark.createDataFrame([(n, int(n % 9 == 0)) for n, _ in docs], "doc_id long, toxic int")
+    asked = docs_of([(n, t) for n, t in docs[:200]]).select("doc_id", "text")
+    plain = docs_of([(n, prose(rng, 20)) for n, _ in docs])
+
+    def scores(model):
+        return [model.score(m) for m in T.Scorer(model).margins([r.text for r in asked.collect()])]
+
+    small = scores(T.fit(docs_of(docs), labels))
+    rate = scores(T.fit(plain, labels))
+    monkeypatch.setattr(T, "SAMPLE_DOCS", 120)
+    full = scores(T.fit(docs_of(docs), labels))
+    assert np.mean(np.abs(np.array(full) - small)) < 0.05 and [s >= 0.5 for s in full] == [s >= 0.5 for s in small]
+    assert len(set(rate)) == 1 and scores(T.fit(plain, labels)) == pytest.approx(rate, abs=0.01) and rate[0] < 0.15

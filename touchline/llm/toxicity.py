@@ -14,7 +14,8 @@ words and in many documents, far more often than chance allows are positives, ho
 commonest (copied passages and repetitive documents do not count, and a family of copies is one document),
 variants with an inserted sign are added, and strings of clean sentences are negatives;
 rounds of refitting add the clean strings nearest the margin. A logistic curve over the
-highest margin of the sampled documents gives the score.
+highest margin of the sampled documents gives the score. Sampled documents and sentences weigh as many as
+they stand for, so shares of the classes are those of all labels, whatever the caps.
 
 Scoring: every string of a whole text (single letters in a row are joined, long strings pass through in
 overlapping windows); the highest margin counts. Workers remember margins of strings.
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.texts import map_rows, picked
+from touchline.operators.common import stage
 from touchline.operators.linkage import link_components
 
 #: Bounds of the training sample: documents and distinct sentences of each class.
@@ -224,18 +226,18 @@ def _fit_machine(landmarks: list[str], positive: list[str], negative: list[str])
     return Model(fold @ w[:-1], float(w[-1]))
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by damped Newton steps."""
+def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and shift of a logistic curve over weighted rows, by damped Newton steps."""
     x = np.c_[margin, np.ones(len(margin))]
 
     def loss(w):
         f = x @ w
-        return np.logaddexp(0, f).sum() - y @ f + ridge / 2 * w @ w
+        return weight @ np.logaddexp(0, f) - (weight * y) @ f + ridge / 2 * w @ w
 
     w = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (weight * (p - y)) + ridge * w)
         rate = 1.0
         while loss(w - rate * step) > loss(w) and rate > 1e-6:
             rate /= 2
@@ -262,27 +264,31 @@ def contexts(sentences: list[tuple[int, str]]) -> dict[str, int]:
     return {w: min(len(x), len(docs[w])) for w, x in follows.items()}
 
 
-def telling(bad: dict[str, int], good: dict[str, int]) -> list[str]:
-    """Strings whose share of toxic contexts is above the average by more than chance, given that all are tried."""
+def telling(bad: dict[str, int], good: dict[str, int], weights: tuple[float, float] = (1.0, 1.0)) -> list[str]:
+    """Strings mostly in toxic contexts whose share of them is above the average by more than chance, given that all are tried.
+
+    ``weights``: contexts that one of the sample's stands for, clean and toxic. Chance is judged on the sample itself.
+    """
     share = sum(bad.values()) / (sum(bad.values()) + sum(good.values()))
     least = math.log(100 * len(bad.keys() | good.keys()))
     out = []
     for w, n in bad.items():
         total = n + good.get(w, 0)
         p = n / total
-        if p > max(0.8, share):
+        if p > share and n * weights[1] > good.get(w, 0) * weights[0]:
             gain = n * math.log(p / share) + ((total - n) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0)
             if gain > least:
                 out.append((-gain, w))
     return [w for _, w in sorted(out)]
 
 
-def fit_strings(toxic: list[tuple[int, str]], clean: list[tuple[int, str]], seed: int = 7) -> Model | None:
+def fit_strings(toxic: list[tuple[int, str]], clean: list[tuple[int, str]], seed: int = 7,
+                weights: tuple[float, float] = (1.0, 1.0)) -> Model | None:
     """A machine from (document, sentence) pairs of toxic and of clean documents; None without a telling string."""
     bad, good = contexts(toxic), contexts(clean)
     if not bad or not good:
         return None
-    seeds = telling(bad, good)
+    seeds = telling(bad, good, weights)
     if not seeds:
         return None
     rng = np.random.default_rng(seed)
@@ -307,20 +313,23 @@ def fit_strings(toxic: list[tuple[int, str]], clean: list[tuple[int, str]], seed
     return _fit_machine(landmarks, positive, negative)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, toxic`` of labels outside the held-out fold, at most SAMPLE_DOCS of each class."""
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """``doc_id, text, toxic`` of labels outside the held-out fold, at most SAMPLE_DOCS of each class, and how many
+    labels of its class each one stands for."""
     own = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
            .filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))
            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    weights = {r["toxic"]: max(1.0, r["n"] / SAMPLE_DOCS) for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [own.filter(F.col("toxic") == c).orderBy(*order).limit(SAMPLE_DOCS) for c in (0, 1)]
     # At most 2 * SAMPLE_DOCS rows of two numbers.
     ids = some[0].unionByName(some[1])
-    return docs.filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    return docs.filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    sample = labelled(picked(docs, doc_id=id_col, text=text_col), picked(labels, doc_id="doc_id", toxic="toxic")).cache()
+    sample, weights = labelled(picked(docs, doc_id=id_col, text=text_col), picked(labels, doc_id="doc_id", toxic="toxic"))
+    sample = sample.cache()
     try:
         sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -337,17 +346,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         shared = (found.filter(long_).join(each.filter(long_).select("sentence", F.col("doc_id").alias("b")), "sentence")
                   .filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct())
         first = link_components(shared).select(F.col("node").alias("doc_id"), F.col("component").alias("first"))
-        each = (each.filter(F.col("toxic") == F.col("low")).join(first, "doc_id", "left")
-                .select("sentence", "toxic", F.coalesce("first", "doc_id").alias("doc_id")))
+        each = stage(each.filter(F.col("toxic") == F.col("low")).join(first, "doc_id", "left")
+                     .select("sentence", "toxic", F.coalesce("first", "doc_id").alias("doc_id")), "toxic-sentences")
+        held = {r["toxic"]: r["n"] for r in each.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         order = [F.xxhash64("sentence"), F.col("sentence")]
         got = {c: [tuple(r) for r in each.filter(F.col("toxic") == c).orderBy(*order).limit(SAMPLE_SENTENCES).select("doc_id", "sentence").collect()]
                for c in (0, 1)}
-        model = fit_strings(got[1], got[0]) if got[0] and got[1] else None
+        model = None
+        if got[0] and got[1]:
+            model = fit_strings(got[1], got[0], weights=tuple(weights[c] * held[c] / len(got[c]) for c in (0, 1)))
         if model is None:
-            rate = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
+            standing = {c: n * weights[c] for c, n in sizes.items()}
+            rate = (standing.get(1, 0) + 0.5) / (sum(standing.values()) + 1)
             return Model(np.zeros(27 ** 3), FLOOR, 0.0, math.log(rate / (1 - rate)))
         scored = [(r["margin"], r["toxic"]) for r in with_margins(sample, model, "toxic").select("margin", "toxic").collect()]
-        model.slope, model.shift = _logistic(np.minimum([m for m, _ in scored], CEILING), np.array([t for _, t in scored], float))
+        model.slope, model.shift = _logistic(np.minimum([m for m, _ in scored], CEILING), np.array([t for _, t in scored], float),
+                                             np.array([weights[t] for _, t in scored]))
         return model
     finally:
         sample.unpersist()

@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every document, checked by decoding."""
-    return pieces.encoded_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """SentencePiece ids of every document, checked by decoding, with its position in the mix and in that order."""
+    return pieces.encoded_pieces(mixing.laid_out(docs), public_tokenizers.path("piece_bpe_32k.model"), position_col="position")
 
 
 STAGES = [

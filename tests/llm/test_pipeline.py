@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+import math
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from test_near_dup import brute as components
-from touchline.llm import secret_scan, toxicity
+from touchline.llm import mixing, secret_scan, toxicity
 from touchline.operators.common import stage
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +96,32 @@ def test_oracles(spark, key):
     rel = con.execute(entry.oracle_sql()[key])
     names = [d[0] for d in rel.description]
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(rel.fetchall(), names)
+
+
+def mix_order(rows, block=mixing.BLOCK):
+    """Ids of (doc_id, source) rows in the order of the schedule, by hand."""
+    queues = {}
+    for k, s in rows:
+        queues.setdefault("-" if s is None else "+" + s, []).append(k)
+    keys = sorted(queues)
+    most = max(map(len, queues.values()))
+    q = [max(1, math.floor(math.sqrt(len(queues[k]) / most) * mixing.RESOLUTION + 0.5)) for k in keys]
+    for k in keys:
+        queues[k].sort(key=lambda x: (hashlib.md5(str(x).encode()).hexdigest(), x))
+    total, done, out, t = sum(q), [0] * len(q), [], 0
+    while len(out) < len(rows):
+        i = min((-(-(done[i] + 1) * total // q[i]), i) for i in range(len(q)) if done[i] * total // q[i] <= t)[1]
+        out += queues[keys[i]][done[i] * block: (done[i] + 1) * block]
+        done[i] += 1
+        t += 1
+    return out
+
+
+def test_result_is_in_the_order_of_the_mix(spark, folder):
+    got = corpus_pipeline.run(spark, folder)
+    rows = got.select("doc_id", "position", "_metadata.file_name", "_metadata.row_index").collect()
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source").collect()}
+    want = mix_order([(r.doc_id, source[r.doc_id]) for r in rows])
+    assert sorted(r.position for r in rows) == list(range(len(rows)))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == want
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.file_name, r.row_index))] == want

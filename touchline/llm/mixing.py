@@ -121,3 +121,23 @@ def mixed(docs: DataFrame, shares: dict[str | None, int] | None = None, block: i
     total = max(1, at.agg(F.max("__at")).first()[0] or 1)
     part = F.least(F.lit(n - 1), F.floor(F.col("__at") * n / (total + 1))).cast("int")
     return rows.repartitionById(n, part).sortWithinPartitions("__at").select(*[docs[c] for c in docs.columns])
+
+
+def laid_out(docs: DataFrame) -> DataFrame:
+    """``docs``, read from the files of ``mixed``, with ``position`` (place in the mix, from 0), laid out by it.
+
+    Spark deals a folder's files to tasks by size, so the order of reading says nothing; names and rows of files do.
+    """
+    rows = docs.select(*docs.columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    # A row per file.
+    sizes = [(r["__file"], r["n"]) for r in rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes.sort(key=lambda x: (len(x[0]), x[0]))  # numbers of 100,000 and more have another digit
+    starts, total = [], 0
+    for name, n in sizes:
+        starts.append((name, total))
+        total += n
+    first = F.broadcast(docs.sparkSession.createDataFrame(starts, "__file string, __start long"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = rows.join(first, "__file").withColumn("position", F.col("__start") + F.col("__row"))
+    part = F.floor(F.col("position") * n / max(1, total)).cast("int")
+    return at.repartitionById(n, part).sortWithinPartitions("position").select(*docs.columns, "position")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from touchline.llm import substring_dedup as sd
+from touchline.llm.queries import op3_substring_dedup
 
 rng = random.Random(2)
 
@@ -82,3 +83,12 @@ def test_table_cases(spark, docs_of):
     assert out.columns == df.columns and out.count() == len(rows)
     assert sorted(r.text for r in out.filter("doc_id = 7 OR doc_id IS NULL").collect()) == [text] * 3
     assert sd.repeated_spans(df.limit(0)).count() == 0
+
+
+def test_query_removes_every_later_occurrence(spark, docs_of, tmp_path):
+    """Also a short repeat beside an edited sentence."""
+    a, b, c = sentence(10), sentence(20), sentence(9)
+    rows = [(1, f"{a} {b} {c}"), (2, f"{a} {b[:-1]} edited. {c}"), (3, f"{sentence(12)} {c}")]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.removed_words, r.text) for r in op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {2: (19, f" {b[:-1]} edited. "), 3: (9, rows[2][1][:-len(c)])}

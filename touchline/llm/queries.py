@@ -25,7 +25,7 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that lose passages: what is left, and the removed offsets."""
-    found = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    found = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"), substring_dedup.RepeatParams(min_run_words=0))
     return found.select(
         "doc_id", F.size("removed").cast("long").alias("n_removed"),
         F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["n_words"]).alias("removed_words"),

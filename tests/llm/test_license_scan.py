@@ -62,3 +62,14 @@ def test_spans_name_words(spark, docs_of):
     assert got[1].labels == "bsd" and got[1].spans[0].word == 2 and got[1].spans[0].edits == 2 and 0.9 < got[1].score < 1
     assert got[None].labels == "mit" and got[None].score == 1.0 and got[3].score == 0.0
     assert ls.license_spans(docs_of(rows).limit(0)).count() == 0
+
+
+def test_adjacent_notices_are_all_found():
+    """The first has more edits than the second, which used to hide it."""
+    find = ls.NoticeFinder().find
+    text = "x relesed undr the mit license a b released under the mit license z"
+    assert [text[a:b] for a, b, *_ in find(text)] == ["relesed undr the mit license", "released under the mit license"]
+    text = "all right reserved all rights reserved"
+    assert [(text[a:b], e) for a, b, _, e, _ in find(text)] == [("all right reserved", 1), ("all rights reserved", 0)]
+    text = "all rights reserved " * 300
+    assert [(a, e) for a, _, _, e, _ in find(text.strip())] == [(20 * k, 0) for k in range(300)]

@@ -84,15 +84,18 @@ class NoticeFinder:
                 a = max(0, end + 1 - size - offset - edits)
                 b = min(len(text), end + 1 - size - offset + length + edits)
                 held = spots.setdefault(n, [])
-                if held and a <= held[-1][1]:
-                    held[-1][1] = max(held[-1][1], b)
-                else:
-                    held.append([a, b])
+                while held and a <= held[-1][1]:  # a later hit can start earlier
+                    last = held.pop()
+                    a, b = min(a, last[0]), max(b, last[1])
+                held.append([a, b])
         out = []
         for n, held in spots.items():
-            label, length, _, pattern = self.notices[n]
-            for a, b in held:
-                for m in pattern.finditer(text, a, b):
+            label, length, edits, pattern = self.notices[n]
+            # The best match of a region comes first; more are searched for before and after it.
+            while held:
+                a, b = held.pop()
+                if b - a >= length - edits and (m := pattern.search(text, a, b)):
+                    held += [[a, m.start() - 1], [m.end(), b]]
                     out.append((m.start(), m.end(), label, sum(m.fuzzy_counts), 1 - sum(m.fuzzy_counts) / length))
         return sorted(out)
 

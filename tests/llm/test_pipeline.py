@@ -125,19 +125,3 @@ def test_result_is_in_the_order_of_the_mix(spark, folder):
     assert sorted(r.position for r in rows) == list(range(len(rows)))
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == want
     assert [r.doc_id for r in sorted(rows, key=lambda r: (r.file_name, r.row_index))] == want
-
-
-def test_copies_from_080_on_are_dropped(spark, docs_of):
-    """Two edited words in 94 to 120 leave 0.8 to 0.85 of the shingles; three in 94 less."""
-    rows, lost = [], set()
-    for n, (size, edits) in enumerate([(94, 2), (100, 2), (110, 2), (120, 2), (94, 3)] * 4):
-        w = [f"n{n}w{i}" for i in range(size)]
-        rows.append((2 * n, " ".join(w)))
-        for e in range(edits):
-            w[20 + 25 * e] = "edited"
-        rows.append((2 * n + 1, " ".join(w)))
-        if edits == 2:
-            lost.add(2 * n + 1)
-    assert {k for k, c in components(rows, 80).items() if k != c} == lost and {k for k, c in components(rows).items() if k != c} == set()
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs_of(rows), "").collect()}
-    assert kept == {k for k, _ in rows} - lost

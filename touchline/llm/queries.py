@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import license_scan, mixing, near_dup, pieces, quality_rules, secret_scan, substring_dedup
-from touchline.llm import token_counts, topk_search, toxicity
+from touchline.llm import collocations, fill_middle, license_scan, mixing, near_dup, pieces, quality_rules, secret_scan
+from touchline.llm import simhash_dedup, substring_dedup, token_counts, topk_search, toxicity
 from touchline.llm.texts import sha256_of
 
 
@@ -76,9 +76,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         sha256_of(joined(strong)).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_fingerprints(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_dedup.hexed("fp").alias("fingerprint"), "component_id")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_sentencepiece_codec, op3_substring_dedup, op4_token_counts, op5_source_mixing, op6_exact_topk,
-    op7_quality_rules, op8_toxicity, op9_license_scan, op10_secret_scan)}
+    op7_quality_rules, op8_toxicity, op9_license_scan, op10_secret_scan, op11_simhash_near_dedup, op12_phrase_collocations, op13_fill_in_middle)}
 
 _BLANK = r"'[\x20\x09-\x0D]+'"
 _WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), {_BLANK}), lambda x: x <> '')"
@@ -121,6 +134,31 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5""",
 }
 
+ORACLES["op12_phrase_collocations"] = r"""
+WITH t AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+k AS (SELECT lang, w[i:i + k - 1] AS g FROM i, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, g, count(*) AS f FROM k GROUP BY 1, 2),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY 1),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 100),
+inside AS (SELECT lang, g[:-2] AS g, a FROM c WHERE len(g) > 2 UNION SELECT lang, g[2:], a FROM c WHERE len(g) > 2),
+cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS j FROM c ANTI JOIN inside USING (lang, g, a)),
+s AS (SELECT cut.lang, cut.g, a, n, j, x.f AS l, y.f AS r, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN n ON n.lang = cut.lang JOIN f x ON x.lang = cut.lang AND x.g = cut.g[:j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:]),
+b AS (SELECT *, array_to_string(g, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000"""
+ORACLES["op13_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+h AS (SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS h1, ('0x' || h[9:16])::BIGINT % (n + 1) AS h2, ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(h1, h2) AS a, greatest(h1, h2) AS b, CASE WHEN doc_id IS NULL OR n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90
+  THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS x, substring(t, a + 1, b - a) AS y, substring(t, b + 1) AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
 
 def _bounds(rule: quality_rules.Rule) -> str:
     stat = rule.stat.replace(" / ", "::DOUBLE / ")

@@ -73,3 +73,71 @@ def test_adjacent_notices_are_all_found():
     assert [(text[a:b], e) for a, b, _, e, _ in find(text)] == [("all right reserved", 1), ("all rights reserved", 0)]
     text = "all rights reserved " * 300
     assert [(a, e) for a, _, _, e, _ in find(text.strip())] == [(20 * k, 0) for k in range(300)]
+
+
+def spans_by_definition(text, notice):
+    """Every stretch of whole words within the edits of a notice; best first, then what does not overlap."""
+    edits = len(notice) // ls.LETTERS_PER_EDIT
+    words, at, places = text.split(" "), 0, []
+    for w in words:
+        places.append((at, at + len(w)))
+        at += len(w) + 1
+    found = []
+    for i, (a, _) in enumerate(places):
+        for _, b in places[i:]:
+            if b - a > len(notice) + edits:
+                break
+            if b - a >= len(notice) - edits and (d := distance(text[a:b], notice)) <= edits:
+                found.append((d, a, b))
+    out = []
+    for d, a, b in sorted(found):
+        if all(b <= x or y <= a for x, y, _ in out):
+            out.append((a, b, d))
+    return sorted(out)
+
+
+def test_notices_spans_and_edits_equal_brute_force():
+    rng = random.Random(21)
+    notices = {k: v for k, v in ls.NOTICES.items() if v in ("all-rights-reserved", "mit", "cc-by-sa", "lgpl")}
+    finder = ls.NoticeFinder(notices)
+    shown = 0
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            s = list(rng.choice(list(notices)))
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                i = rng.randrange(len(s))
+                s[i] = rng.choice(["", "x", s[i] + "y", " "])
+            parts += ["".join(s), *[rng.choice(["a", "all", "the", "mit", "rights"]) for _ in range(rng.randint(0, 2))]]
+        text = " ".join(" ".join(parts).split())
+        got = finder.find(text)
+        for notice, label in notices.items():
+            best = spans_by_definition(text, notice)
+            mine = [(a, b, e) for a, b, x, e, _ in got if x == label] if list(notices.values()).count(label) == 1 else None
+            if mine is not None:
+                assert len(mine) == len(best) and [e for *_, e in mine] == [e for *_, e in best], (text, notice)
+                assert all(a == x and distance(text[a:b], notice) == e for (a, b, e), (x, _, _) in zip(mine, best))
+                shown += len(mine)
+    assert shown > 100
+
+
+def test_words_are_never_cut():
+    find = ls.NoticeFinder().find
+    assert find("all rights reservedly granted") == [] == find("all rights reservedxyz") == find("xyall rights reserved")
+    text = "install rights reserved all rights reservedx end"
+    assert [(text[a:b], e) for a, b, _, e, _ in find(text)] == [("all rights reservedx", 1)]
+
+
+def test_time_is_in_proportion_to_the_text():
+    import time
+
+    find = ls.NoticeFinder().find
+    one = "relesed undr the mit license "
+    times = []
+    for n in (500, 4000):
+        start = time.perf_counter()
+        assert len(find((one * n).strip())) == n
+        times.append(time.perf_counter() - start)
+    assert times[1] < 30 * times[0] and times[1] < 20
+    find("all rights reserved" * 20_000)
+    find("all right" * 40_000)

@@ -5,14 +5,19 @@ every notice of ``NOTICES`` with up to one edit per ``LETTERS_PER_EDIT`` charact
 split into (edits + 1) pieces, one of which must occur unchanged in any match (pigeonhole); one
 automaton finds the pieces of all notices, and around each hit the regex library's matching with
 bounded errors verifies the edits and gives the span. Text between words does not count: both
-sides are lower-cased words joined by single blanks.
+sides are lower-cased words joined by single blanks. A span starts and ends with whole words. Each hit is verified in
+a window of its own, as long as a notice with its edits may be, so the time is in proportion to the hits; of overlapping
+spans of a notice the one with fewer edits stays (then the earlier one), and what is left of a window is searched again.
 
-Defined cases: a null text counts as empty; overlapping hits of one notice are verified once; rows
+Defined cases: a null text counts as empty; rows
 that repeat an id give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 from pyspark.sql import DataFrame
 
 from touchline.llm.texts import encoded, map_rows, picked
@@ -77,28 +82,48 @@ class NoticeFinder:
 
     def find(self, text: str) -> list[tuple[int, int, str, int, float]]:
         """``start, end, label, edits, similarity`` of the notices in a word-joined text."""
-        spots: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, places) in self.seeds.iter(text):
             for n, offset in places:
                 _, length, edits, _ = self.notices[n]
-                a = max(0, end + 1 - size - offset - edits)
-                b = min(len(text), end + 1 - size - offset + length + edits)
-                held = spots.setdefault(n, [])
-                while held and a <= held[-1][1]:  # a later hit can start earlier
-                    last = held.pop()
-                    a, b = min(a, last[0]), max(b, last[1])
-                held.append([a, b])
+                at = end + 1 - size - offset
+                windows.setdefault(n, set()).add((max(0, at - edits), min(len(text), at + length + edits)))
         out = []
-        for n, held in spots.items():
-            label, length, edits, pattern = self.notices[n]
-            # The best match of a region comes first; more are searched for before and after it.
-            while held:
-                a, b = held.pop()
-                if b - a >= length - edits and (m := pattern.search(text, a, b)):
-                    held += [[a, m.start() - 1], [m.end(), b]]
-                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts), 1 - sum(m.fuzzy_counts) / length))
+        for n, found in windows.items():
+            label, length, _, _ = self.notices[n]
+            out += [(a, b, label, edits, 1 - edits / length) for a, b, edits in self._settled(n, text, found)]
         return sorted(out)
 
+    def _settled(self, n: int, text: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Spans of a notice that do not overlap: best first, the rest of a window searched again."""
+        _, length, edits, pattern = self.notices[n]
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def search(a: int, b: int) -> None:
+            # Only whole words of the window can be part of a span.
+            if a and text[a - 1] != " ":
+                a = text.find(" ", a, b) + 1 or b
+            if b < len(text) and text[b] != " ":
+                b = max(a, text.rfind(" ", a, b))
+            if b - a >= length - edits and (m := pattern.search(text, a, b)):
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for window in windows:
+            search(*window)
+        kept: list[tuple[int, int, int]] = []
+        while heap:
+            n_edits, start, end, a, b = heapq.heappop(heap)
+            at = bisect.bisect_left(kept, (end,))
+            if at and kept[at - 1][1] > start:  # taken by a better span: what lies before and after it
+                taken = kept[at - 1]
+                search(a, min(b, taken[0]))
+                search(max(a, taken[1]), b)
+            else:
+                kept.insert(at, (start, end, n_edits))
+                search(a, start)
+                search(end, b)
+        return kept
+
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] = NOTICES) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` and ``spans``:

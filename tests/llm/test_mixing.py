@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.llm import mixing
 
@@ -70,3 +71,12 @@ def test_layout_follows_the_schedule(spark, docs_of, tmp_path):
     want = [r.doc_id for r in mixing.schedule(df).orderBy("position").collect()]
     assert read == want
     assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_pass(spark, docs_of, tmp_path):
+    df = docs_of(rows_of({"a": 60, "b": 9})).withColumns({c: F.lit("own") for c in ("__at", "__id", "__file", "__row", "__start", "position", "n_rows")})
+    mixing.mixed(df).write.parquet(str(tmp_path / "m"))
+    out = mixing.laid_out(spark.read.parquet(str(tmp_path / "m")))
+    assert sorted(out.columns) == sorted(df.columns)
+    got = [(r.doc_id, r.position, r["__at"], r["n_rows"]) for r in out.orderBy("position").collect()]
+    assert got == [(r.doc_id, r.position, "own", "own") for r in mixing.schedule(df).orderBy("position").collect()]

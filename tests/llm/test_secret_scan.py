@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from touchline.llm import secret_scan as sc
 from touchline.llm.queries import op10_secret_scan
 
@@ -84,3 +86,11 @@ def test_redaction_and_table_cases(spark, docs_of):
 def test_no_python_in_the_plan(spark):
     plan = op10_secret_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_redaction_passes_columns_of_any_name(spark, docs_of):
+    df = docs_of([(1, "token=abcdef12 end"), (2, "clean"), (None, None)]).withColumns({c: F.lit("own") for c in ("last", "cuts", "__d", "__h", "__cuts", "from", "h")})
+    out = sc.redacted(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: (r.text, r.cuts, r.last) for r in out.collect()}
+    assert got == {1: ("[SECRET] end", "own", "own"), 2: ("clean", "own", "own"), None: (None, "own", "own")}

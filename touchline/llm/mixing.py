@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from touchline.llm.texts import picked
+from touchline.llm.texts import picked, spare
 from touchline.operators.common import stage
 
 #: Documents of a block, and steps of the largest share that temperature shares are rounded to.
@@ -114,30 +114,34 @@ def mixed(docs: DataFrame, shares: dict[str | None, int] | None = None, block: i
           id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` in their columns, laid out in the order of the schedule: later partitions hold later
     positions and each is sorted, so files read by name give the mix."""
+    key, place = spare(docs, "__id", "__at")
     at = stage(schedule(docs, shares, block, id_col, source_col)
-               .groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__at")), "mix-order")
-    rows = docs.join(at, docs[id_col].eqNullSafe(at["__id"]))
+               .groupBy(F.col("doc_id").alias(key)).agg(F.min("position").alias(place)), "mix-order")
+    rows = docs.join(at, docs[id_col].eqNullSafe(at[key]))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = max(1, at.agg(F.max("__at")).first()[0] or 1)
-    part = F.least(F.lit(n - 1), F.floor(F.col("__at") * n / (total + 1))).cast("int")
-    return rows.repartitionById(n, part).sortWithinPartitions("__at").select(*[docs[c] for c in docs.columns])
+    total = max(1, at.agg(F.max(place)).first()[0] or 1)
+    part = F.least(F.lit(n - 1), F.floor(F.col(place) * n / (total + 1))).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions(place).select(*[docs[c] for c in docs.columns])
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
-    """``docs``, read from the files of ``mixed``, with ``position`` (place in the mix, from 0), laid out by it.
+    """``docs``, read from the files of ``mixed``, with ``position`` (place in the mix, from 0; a column of that name gives way),
+    laid out by it.
 
     Spark deals a folder's files to tasks by size, so the order of reading says nothing; names and rows of files do.
     """
-    rows = docs.select(*docs.columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    file, row, start = spare(docs, "__file", "__row", "__start")
+    others = [c for c in docs.columns if c.lower() != "position"]
+    rows = docs.select(*others, F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
     # A row per file.
-    sizes = [(r["__file"], r["n"]) for r in rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = [(r[file], r["n_rows"]) for r in rows.groupBy(file).agg(F.count(F.lit(1)).alias("n_rows")).collect()]
     sizes.sort(key=lambda x: (len(x[0]), x[0]))  # numbers of 100,000 and more have another digit
     starts, total = [], 0
     for name, n in sizes:
         starts.append((name, total))
         total += n
-    first = F.broadcast(docs.sparkSession.createDataFrame(starts, "__file string, __start long"))
+    first = F.broadcast(docs.sparkSession.createDataFrame(starts, f"{file} string, {start} long"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = rows.join(first, "__file").withColumn("position", F.col("__start") + F.col("__row"))
+    at = rows.join(first, file).withColumn("position", F.col(start) + F.col(row))
     part = F.floor(F.col("position") * n / max(1, total)).cast("int")
-    return at.repartitionById(n, part).sortWithinPartitions("position").select(*docs.columns, "position")
+    return at.repartitionById(n, part).sortWithinPartitions("position").select(*others, "position")

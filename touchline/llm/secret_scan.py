@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from touchline.llm.texts import picked
+from touchline.llm.texts import picked, spare
 from touchline.operators.common import stage
 
 SCOPE = 256
@@ -130,16 +130,17 @@ def redacted(docs: DataFrame, parts=PARTS, scope: int = SCOPE, id_col: str = "do
              mark: str = "[SECRET]") -> DataFrame:
     """``docs`` in their columns, each reported span (joined where spans overlap) replaced by ``mark``."""
     _, spans = secret_spans(docs, parts, scope, id_col, text_col)
+    key, hashed, cuts, last = spare(docs, "__d", "__h", "__cuts", "__last")
     ahead = W.partitionBy(*_KEY).orderBy("start", "place").rowsBetween(W.unboundedPreceding, -1)
     cut = (spans.withColumn("from", F.coalesce(F.max("end").over(ahead), F.lit(0)))
-           .groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("start", "place", "from"))).alias("cuts"), F.max("end").alias("last"))
-           .select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "cuts", "last"))
+           .groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("start", "place", "from"))).alias(cuts), F.max("end").alias(last))
+           .select(F.col("doc_id").alias(key), F.col("h").alias(hashed), cuts, last))
     text = docs[text_col]
     h = F.struct(F.xxhash64(F.coalesce(text, F.lit(""))).alias("x"), F.length(F.coalesce(text, F.lit(""))).alias("n"))
-    joined = docs.join(cut, docs[id_col].eqNullSafe(cut["__d"]) & (h == cut["__h"]), "left")
-    pieces = F.transform("cuts", lambda c: F.when(c["start"] >= c["from"], F.concat(
+    joined = docs.join(cut, docs[id_col].eqNullSafe(cut[key]) & (h == cut[hashed]), "left")
+    pieces = F.transform(cuts, lambda c: F.when(c["start"] >= c["from"], F.concat(
         F.substring(text, c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), F.lit(mark))).otherwise(F.lit("")))
     # A cut that begins inside the one before it has nothing of its own to keep.
-    clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.col("last").cast("int") + 1, F.length(text)))
-    return joined.select(*[F.when(F.col("cuts").isNull(), text).otherwise(clean).alias(c) if c == text_col else docs[c]
+    clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.col(last).cast("int") + 1, F.length(text)))
+    return joined.select(*[F.when(F.col(cuts).isNull(), text).otherwise(clean).alias(c) if c == text_col else docs[c]
                            for c in docs.columns])

@@ -24,6 +24,16 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, size: int = 4096) -> DataFrame:
     """``rows`` gets an iterator over the tuples of a partition and yields output tuples.
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from touchline.llm import substring_dedup as sd
 from touchline.llm.queries import op3_substring_dedup
 
@@ -92,3 +94,55 @@ def test_query_removes_every_later_occurrence(spark, docs_of, tmp_path):
     docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.removed_words, r.text) for r in op3_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {2: (19, f" {b[:-1]} edited. "), 3: (9, rows[2][1][:-len(c)])}
+
+
+def test_rows_of_one_id_with_other_texts_lose_their_own_repeats(spark, docs_of):
+    p = sd.RepeatParams(min_run_words=0)
+    a, b, c, d = (sentence(9) for _ in range(4))
+    rows = [(1, f"{a} {b}"), (2, f"{a} {b}"), (2, f"{c} {d}"), (2, f"{c} {d}"), (3, f"{d} {a}")]
+    df = docs_of(rows).withColumns({"__h": F.lit("x"), "__text": F.lit("x")})
+    out = sd.without_repeats(df, p)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted(
+        [(1, f"{a} {b}"), (2, ""), (2, f"{c} {d}"), (2, f"{c} {d}"), (3, "")])
+    assert sorted((r.doc_id, r.text) for r in sd.repeated_spans(df, p).collect()) == [(2, ""), (3, "")]
+
+
+def rows_left(rows, p):
+    """Text of every row without later units, by definition; ids are distinct."""
+    seen, out = set(), {}
+    for key, text in sorted(rows):
+        left, last, run = [], 0, []
+
+        def close():
+            nonlocal last
+            while run and not run[-1][2]:
+                run.pop()
+            if run:
+                left.append(text[last:run[0][0]])
+                last = run[-1][1]
+            run.clear()
+
+        for start, end, words in sd.units(text, sd._CUTS[p.unit]):
+            name = " ".join(words)
+            if len(words) < p.min_unit_words:
+                if run:
+                    run.append((start, end, False))
+            elif name in seen:
+                run.append((start, end, True))
+            else:
+                close()
+                seen.add(name)
+        close()
+        out[key] = "".join(left) + text[last:]
+    return out
+
+
+def test_whole_rows_equal_brute_force_at_the_settings_of_the_query(spark, docs_of):
+    gen = random.Random(7)
+    pool = [sentence(n) for n in (2, 3, 4, 6, 10)] + ["\n", "\n\n", "  "]
+    rows = [(n, " ".join(gen.choice(pool) if gen.random() < 0.5 else sentence(gen.randint(2, 9)) for _ in range(25))) for n in range(80)]
+    for unit in ("sentence", "line", "paragraph"):
+        p = sd.RepeatParams(unit, min_run_words=0)
+        got = {r.doc_id: r.text for r in sd.without_repeats(docs_of(rows), p).collect()}
+        assert got == rows_left(rows, p)

@@ -11,8 +11,9 @@ to be hashed belong to the run around them.
 Offsets are code points of the original text, end exclusive.
 
 Defined cases: null and empty texts have no units and stay as they are; rows with a null id take no
-part and stay whole; rows that repeat an id rank alike, so the earliest rank may have several rows
-and they all keep the passage; other columns are ignored or kept by ``without_repeats``.
+part and stay whole; a row is known by its id and a hash of its text, so rows that repeat an id with other texts lose
+their own repeats alone (of them the one with the smaller hash is the earlier), and rows that repeat id and text are one and
+keep what one would keep; other columns are ignored or kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.texts import encoded, map_rows, picked
+from touchline.llm.texts import encoded, map_rows, picked, spare
 
 _CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*"),
          "sentence": re.compile(r"\n|(?<=[.!?])[ \t]+")}
@@ -49,17 +50,17 @@ def units(text: str, cut: re.Pattern):
 
 
 def hashed_units(docs: DataFrame, p: RepeatParams) -> DataFrame:
-    """``doc_id, at`` (number of the unit), ``digest`` of units long enough."""
+    """``doc_id, h`` (hash of the text), ``at`` (number of the unit), ``digest`` of units long enough."""
 
     def rows(it):
         cut = _CUTS[p.unit]
-        for key, text in it:
+        for key, h, text in it:
             for at, (_, _, words) in enumerate(units(text, cut)):
                 if len(words) >= p.min_unit_words:
-                    yield key, at, blake2b(encoded(" ".join(words)), digest_size=16).digest()
+                    yield key, h, at, blake2b(encoded(" ".join(words)), digest_size=16).digest()
 
-    return map_rows(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), rows,
-                    "doc_id long, at int, digest binary", size=65536)
+    return map_rows(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text"), "text"), rows,
+                    "doc_id long, h long, at int, digest binary", size=65536)
 
 
 def repeated_spans(docs: DataFrame, p: RepeatParams = RepeatParams(), id_col: str = "doc_id",
@@ -68,16 +69,20 @@ def repeated_spans(docs: DataFrame, p: RepeatParams = RepeatParams(), id_col: st
 
     Only documents that lose something.
     """
-    docs = picked(docs, doc_id=id_col, text=text_col)
+    return _left(picked(docs, doc_id=id_col, text=text_col), p).drop("h")
+
+
+def _left(docs: DataFrame, p: RepeatParams) -> DataFrame:
+    """``repeated_spans`` with the hash ``h`` of the whole text."""
     found = hashed_units(docs, p)
-    first = (found.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = (found.groupBy("digest").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1").select("digest", "first"))
-    later = (found.join(first, "digest").filter(F.struct("doc_id", "at") != F.col("first"))
-             .groupBy("doc_id").agg(F.collect_set(F.struct("at", F.col("first.doc_id").alias("kept"))).alias("later")))
+    later = (found.join(first, "digest").filter(F.struct("doc_id", "h", "at") != F.col("first"))
+             .groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", F.col("first.doc_id").alias("kept"))).alias("later")))
 
     def rows(it):
         cut = _CUTS[p.unit]
-        for key, text, later in it:
+        for key, h, text, later in it:
             kept_in = {x["at"]: x["kept"] for x in later}
             runs, run, held = [], [], 0
 
@@ -103,17 +108,19 @@ def repeated_spans(docs: DataFrame, p: RepeatParams = RepeatParams(), id_col: st
                     left.append(text[last:start])
                     last = end
                 left.append(text[last:])
-                yield key, "".join(left), [dict(zip(("start", "end", "n_words", "kept_doc_id"), r)) for r in runs]
+                yield key, h, "".join(left), [dict(zip(("start", "end", "n_words", "kept_doc_id"), r)) for r in runs]
 
-    return map_rows(docs.filter("text IS NOT NULL").join(later, "doc_id").select("doc_id", "text", "later"), rows,
-                    "doc_id long, text string, removed array<struct<start:long,end:long,n_words:long,kept_doc_id:long>>",
+    hashed = docs.filter("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    return map_rows(hashed.join(later, ["doc_id", "h"]).select("doc_id", "h", "text", "later"), rows,
+                    "doc_id long, h long, text string, removed array<struct<start:long,end:long,n_words:long,kept_doc_id:long>>",
                     size=512)
 
 
 def without_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``docs`` in their columns, with repeated passages taken out of the text."""
-    left = repeated_spans(docs, p, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    left = left.dropDuplicates(["__id"])
-    out = docs.join(left, docs[id_col] == left["__id"], "left")
-    return out.select(*[F.coalesce(left["__text"], docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    key, hashed, text = spare(docs, "__id", "__h", "__text")
+    left = _left(picked(docs, doc_id=id_col, text=text_col), p).select(F.col("doc_id").alias(key), F.col("h").alias(hashed), F.col("text").alias(text))
+    left = left.dropDuplicates([key, hashed])
+    out = docs.join(left, (docs[id_col] == left[key]) & (F.xxhash64(docs[text_col]) == left[hashed]), "left")
+    return out.select(*[F.coalesce(left[text], docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -261,3 +261,37 @@ def test_age_curve_needs_enough_pairs(spark):
     curve = CA.age_curve(pairs, AgeCurveParams(metrics=("xg",), min_pairs=3, age_min=19, age_max=22))
     got = {r["age"]: (r["delta"], r["n_pairs"]) for r in curve.collect()}
     assert got[20] == (pytest.approx(0.2), 3) and got[19] == (None, 0) and len(got) == 4
+
+
+def test_numbers_are_backed_within_their_rounding_alone(spark):
+    """Against the definition, around the borders of bands, with one entity that has most numbers."""
+    rng = random.Random(14)
+    tolerance = 1e-6
+    numbers = [rng.choice([0.0, 0.5, 1.5, 2.0, -2.0, 1e6, 4e8]) + rng.uniform(-3, 3) * 10.0 ** rng.randint(-4, 5) for _ in range(120)]
+    facts = [("hot" if i % 3 else "e", x) for i, x in enumerate(numbers)]
+    tokens = []
+    for i in range(1500):
+        entity, x = rng.choice(facts)
+        d = rng.randint(0, 8)
+        v = round(x + rng.uniform(-1.5, 1.5) * 10.0 ** -d, d) * rng.choice([1, 1, -1])
+        tokens.append((f"t{i}", entity, "number", str(i), v, d, rng.random() < 0.5))
+
+    def backed(entity, v, d, signed):
+        for e, a in facts:
+            for c in (a,) if signed else (a, -a):
+                if e == entity and abs(c - v) <= 0.5 * 10.0 ** -d + tolerance * max(1.0, abs(c)):
+                    return True
+        return False
+
+    df = spark.createDataFrame(tokens, "id string, entity string, kind string, token string, value double, decimals int, signed boolean")
+    got = G.unbacked_numbers(df, spark.createDataFrame(facts, "entity string, number double"), tolerance)
+    assert got.columns == df.columns
+    want = {t[0] for t in tokens if not backed(t[1], t[4], t[5], t[6])}
+    assert {r["id"] for r in got.collect()} == want and 100 < len(want) < 1400
+
+
+def test_common_words_come_from_the_texts(spark):
+    texts = spark.createDataFrame([("a", "e", "The end of the road, the sea, the hill. Harbour won. Hill fell."), ("b", "e", None)], "id string, entity string, text string")
+    assert {r["token"] for r in G.common_words(texts, openers=()).collect()} == {"end", "of", "road", "sea", "won", "fell"}
+    facts = spark.createDataFrame([("e", 1.0, "sea")], "entity string, number double, text string")
+    assert {r["token"] for r in G.grounding_check(texts, facts, common=G.common_words(texts, lower_uses=2)).collect()} == {"harbour", "hill"}

@@ -134,6 +134,37 @@ def test_market_feeds(spark, land):
     assert hist == {(dt.date(2025, 6, 1), 200), (dt.date(2024, 6, 1), 50)}
 
 
+def _history(*points):
+    return [{"date": d, "value": v} for d, v in points]
+
+
+def test_ties_across_documents_and_files(spark, land):
+    """First wins for the live value, a known one before an unknown; the files' order counts, not the tasks'."""
+    land("transfermarkt", "club-players-c1.json", {"id": "c1", "players": [{"id": str(i), "name": f"P{i}"} for i in (1, 2, 3)]})
+    land("transfermarkt", "club-search-h.json", {"results": [{"id": "c1", "name": "Harbour"}]})
+    docs = [{"id": "1", "marketValue": "-", "marketValueHistory": _history(("2026-01-01", "-"), ("2025-01-01", "€9.00m"))},
+            {"id": "2", "marketValue": "-", "marketValueHistory": _history(("2026-01-01", "€2.00m"), ("2026-01-01", "€3.00m"))}]
+    land("transfermarkt", "market-value-a.json", "\n".join(map(json.dumps, docs)))
+    docs = [{"id": "1", "marketValue": "-", "marketValueHistory": _history(("2026-01-01", "€5.00m"))},
+            {"id": "2", "marketValue": "-", "marketValueHistory": _history(("2026-01-01", "€4.00m"))},
+            {"id": "3", "marketValue": "-", "marketValueHistory": _history(("2026-01-01", "-"))}]
+    land("transfermarkt", "market-value-b.json", "\n".join(map(json.dumps, docs)))
+    rows = {r["tm_player_id"]: r["value_eur"] for r in SC.scan_market_live(spark, f"{land.root}/transfermarkt/{STAMP}", multi_line=False).collect()}
+    assert rows == {"1": 5_000_000, "2": 2_000_000, "3": None}
+    players = land("transfermarkt_datasets", "players.csv", (
+        "player_id,name,date_of_birth,sub_position,contract_expiration_date,current_club_id,current_club_name,current_club_domestic_competition_id\n1,A,,,,5,H,GB1\n"))
+    # A file of several blocks: the first row stands in the first, the last in the last.
+    many = "".join(f"1,2025-06-01,{v}\n" for v in range(100, 60_100))
+    values = land("transfermarkt_datasets", "player_valuations.csv", "player_id,date,market_value_in_eur\n" + many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert SC.read_csv(spark, values, ("date",), "x").rdd.getNumPartitions() > 3
+        assert [r["value_eur"] for r in SC.scan_market_latest(spark, players, values, "GB1").collect()] == [100]
+        assert [r["value_eur"] for r in SC.scan_market_history(spark, players, values, "GB1").collect()] == [60_099]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_unreadable_values_stop_the_scan(spark, land):
     players = land("transfermarkt_datasets", "players.csv.gz", gzip.compress(
         b"player_id,name,date_of_birth,sub_position,contract_expiration_date,current_club_id,current_club_name,current_club_domestic_competition_id\n1,A,,,,5,H,GB1\n"))

@@ -153,7 +153,7 @@ def scan_archive_seasons(spark: SparkSession, root: str, seasons: Sequence[str])
 
 
 def _archive_season(spark: SparkSession, root: str, season: str) -> DataFrame:
-    gw = read_csv(spark, f"{root}/*{season}_merged_gw.csv", ARCHIVE_REQUIRED, "vaastav").drop("__path").dropDuplicates()
+    gw = read_csv(spark, f"{root}/*{season}_merged_gw.csv", ARCHIVE_REQUIRED, "vaastav").drop("__path", "__position").dropDuplicates()
     players = read_csv(spark, f"{root}/*{season}_players_raw.csv", ("id", "code"), "vaastav")
     teams = read_csv(spark, f"{root}/*{season}_teams.csv", ("id", "code", "name"), "vaastav")
     club_at_end = F.col("team_code").cast("int") if "team_code" in players.columns else F.lit(None).cast("int")
@@ -266,16 +266,19 @@ def scan_possession(spark: SparkSession, path: str, tolerance: float = POSSESSIO
 
 
 def scan_market_live(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
-    """Squad players with their current value; its as-of is the newest history date, of which the first
-    listed point counts."""
+    """Squad players with their current value; its as-of is the newest history date.
+
+    Where that date has several points, one with a known value goes before one without; then the place in the
+    document's list counts, then the document's place (first wins).
+    """
     clubs = (read_json(spark, f"{root}/*club-search*", CLUB_SEARCH, "transfermarkt", multi_line)
              .select(F.explode("results").alias("r")).groupBy(F.col("r.id").alias("tm_club_id")).agg(F.min("r.name").alias("tm_club_name")))
     squads = (read_json(spark, f"{root}/*club-players*", CLUB_PLAYERS, "transfermarkt", multi_line)
               .select(F.col("id").alias("tm_club_id"), F.explode("players").alias("p"), F.col("fetched_at").alias("squad_at")))
     docs = read_json(spark, f"{root}/*market-value*", MARKET_VALUE, "transfermarkt", multi_line)
-    points = docs.select("id", F.posexplode("marketValueHistory").alias("nth", "h")).select(
-        "id", "nth", S.strict(S.clean_multi_date("h.date"), "h.date", "valuation date").alias("d"), S.strict(S.clean_money("h.value"), "h.value", "valuation").alias("v")).filter("d is not null")
-    newest = points.groupBy("id").agg(F.max("d").alias("last_date"), F.max_by(F.struct("v"), F.struct(F.col("d"), -F.col("nth"))).alias("last"))
+    points = docs.select("id", "__position", F.posexplode("marketValueHistory").alias("nth", "h")).select(
+        "id", "nth", "__position", S.strict(S.clean_multi_date("h.date"), "h.date", "valuation date").alias("d"), S.strict(S.clean_money("h.value"), "h.value", "valuation").alias("v")).filter("d is not null")
+    newest = points.groupBy("id").agg(F.max("d").alias("last_date"), F.min_by(F.struct("v"), F.struct(-F.unix_date("d"), F.col("v").isNull(), "nth", "__position")).alias("last"))
     now = docs.groupBy("id").agg(F.max(S.strict(S.clean_money("marketValue"), "marketValue", "market value")).alias("current"), F.max("fetched_at").alias("value_at"))
     rows = (squads.join(clubs, "tm_club_id", "left").join(now, F.col("p.id") == now["id"], "left").drop("id")
             .join(newest, F.col("p.id") == newest["id"], "left").drop("id"))
@@ -290,14 +293,14 @@ def _valuations(spark: SparkSession, path: str) -> DataFrame:
     v = read_csv(spark, path, ("player_id", "date", "market_value_in_eur"), "transfermarkt_datasets")
     return v.select(F.col("player_id").alias("tm_player_id"), S.strict(S.clean_multi_date("date"), "date", "date").alias("tm_last_updated"),
                     S.strict(S.clean_money("market_value_in_eur"), "market_value_in_eur", "valuation").alias("value_eur"), "source", "fetched_at",
-                    F.col("__path").alias("file"), F.monotonically_increasing_id().alias("place"))
+                    F.col("__position").alias("place"))
 
 
 def scan_market_latest(spark: SparkSession, players_path: str, valuations_path: str, competition: str) -> DataFrame:
     """Players of one competition with their latest valuation (first row wins on a tie)."""
     p = read_csv(spark, players_path, ("player_id", "name", "current_club_id", "current_club_domestic_competition_id"), "transfermarkt_datasets")
     latest = top_per(_valuations(spark, valuations_path).filter("tm_last_updated is not null"), ["tm_player_id"],
-                     [F.desc("tm_last_updated"), F.asc("file"), F.asc("place")]).select(
+                     [F.desc("tm_last_updated"), F.asc("place")]).select(
                          "tm_player_id", "tm_last_updated", "value_eur", F.col("fetched_at").alias("valued_at"))
     mine = p.filter(F.col("current_club_domestic_competition_id") == competition)
     return mine.withColumn("tm_player_id", F.col("player_id")).join(latest, "tm_player_id", "left").select(
@@ -313,7 +316,7 @@ def scan_market_history(spark: SparkSession, players_path: str, valuations_path:
     wanted = p.filter(F.col("current_club_domestic_competition_id") == competition).select(F.col("player_id").alias("tm_player_id")).distinct()
     known = _valuations(spark, valuations_path).filter("tm_last_updated is not null and value_eur is not null")
     rows = known.join(wanted, "tm_player_id", "left_semi")
-    return top_per(rows, ["tm_player_id", "tm_last_updated"], [F.desc("file"), F.desc("place")]).select(
+    return top_per(rows, ["tm_player_id", "tm_last_updated"], [F.desc("place")]).select(
         "tm_player_id", "value_eur", "tm_last_updated", F.lit(True).alias("is_stale"), "source", "fetched_at")
 
 

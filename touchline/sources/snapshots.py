@@ -19,9 +19,14 @@ def fetched_at(path: Column) -> Column:
 
 
 def with_origin(df: DataFrame, source: str) -> DataFrame:
-    """Adds the file path, ``source`` and ``fetched_at`` to freshly read rows."""
+    """Adds the file path, ``source``, ``fetched_at`` and the row's ``__position`` to freshly read rows.
+
+    Positions order rows as they lie: by file, then by the block that a task reads, then by the row in it (the
+    running number tells apart rows of one block, which one task reads in order).
+    """
     path = F.col("_metadata.file_path")
-    return df.select("*", path.alias("__path"), F.lit(source).alias("source"), fetched_at(path).alias("fetched_at"))
+    position = F.struct(path.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", path.alias("__path"), F.lit(source).alias("source"), fetched_at(path).alias("fetched_at"), position.alias("__position"))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

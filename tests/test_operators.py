@@ -163,6 +163,35 @@ def test_knn_equals_brute_force(spark, cell):
         assert [n for _, n in sorted(got[i])] == want
 
 
+def test_metric_index_visits_few_cells(spark, monkeypatch):
+    """Vectors of six KPIs around some styles, with copies of one row: exact, and most cells are never looked into."""
+    rng = np.random.default_rng(6)
+    raw = rng.normal(size=(25, 6))[rng.integers(0, 25, 2400)] + rng.normal(scale=0.15, size=(2400, 6))
+    raw[:90] = raw[0]
+    vecs = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, "g" if i % 3 else "h", vecs[i].tolist()) for i in range(2400)], "player_id long, position_group string, vec array<double>")
+    current = spark.createDataFrame([(i,) for i in range(2400) if i % 7], "player_id long")
+    asked = []
+    whole = SI.visits
+
+    def watched(queries, cells, first):
+        out = C.stage(whole(queries, cells, first), "visits")
+        asked.append((out.count(), cells.groupBy("position_group").count().join(queries, "position_group").agg(F.sum("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(SI, "visits", watched)
+    got = {}
+    for r in SI.knn_similar(df, current, 5, rows_per_cell=24).collect():
+        got.setdefault(r["player_id"], []).append((r["rank"], r["neighbour_id"]))
+    sims = np.clip(vecs @ vecs.T, -1, 1).round(9)
+    for i in range(0, 2400, 11):
+        want = sorted((j for j in range(2400) if j % 7 and j != i and (j % 3 > 0) == (i % 3 > 0)), key=lambda j: (-sims[i, j], j))[:5]
+        assert [n for _, n in sorted(got[i])] == want
+    assert len(got) == 2400
+    looked, possible = sum(n for n, _ in asked), asked[0][1]
+    assert looked < 0.35 * possible, (looked, possible)
+
+
 def test_components_of_chain_and_hub(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)]
     hub = [("hub", f"x{i}") for i in range(50)]

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions import names as NM
 from touchline.operators import careers as CA
 from touchline.operators import common as C
 from touchline.operators import features as FE
@@ -201,6 +202,28 @@ def test_components_of_chain_and_hub(spark):
     assert all(got[f"x{i}"] == "hub" for i in range(50)) and len(got) == 112
 
 
+def test_people_of_one_birthday_are_found_by_names_alone(spark):
+    """One birthday holds all, some names are shared by many: the pairs of all against all that score enough."""
+    rng = random.Random(17)
+    first = ["anna", "bruno", "carlos", "dmitri", "e", "erling", "joao"]
+    last = ["ward", "borges fernandes", "haaland", "silva", "de la cruz", "silva"]
+
+    def name():
+        s = f"{rng.choice(first)} {rng.choice(last)}"
+        if rng.random() < 0.4:
+            at = rng.randrange(len(s))
+            s = s[:at] + rng.choice(["", "x", " "]) + s[at + 1:]
+        return rng.choice([s, s.upper(), " ".join(reversed(s.split())), s.split()[-1] if s.split() else "", s[0] + " " + s.split()[-1] if s.split() else "-"])
+
+    recs = spark.createDataFrame([("tm", f"r{i}", name() if i else "--", "1990-01-01") for i in range(150)], "source string, source_id string, name string, d string")
+    anchors = spark.createDataFrame([(i, [name(), name()] if i else ["--"], "1990-01-01") for i in range(120)], "code int, names array<string>, d string")
+    r = recs.select("source", "source_id", NM.spelled("name").alias("spelled"), F.to_date("d").alias("born"))
+    a = anchors.select("code", F.transform("names", NM.spelled).alias("spellings"), F.to_date("d").alias("born"))
+    got = {(x["source_id"], x["code"], round(x["score"], 6)) for x in L.born_together(r, a).collect()}
+    full = r.join(a, "born").withColumn("score", NM.name_score(F.col("spellings"), F.col("spelled"))).filter("score >= 88").collect()
+    assert got == {(x["source_id"], x["code"], round(x["score"], 6)) for x in full} and len(got) > 300
+
+
 def test_link_decisions(spark):
     anchors = spark.sql("""SELECT * FROM VALUES (1, array('Bruno Borges Fernandes'), 10, DATE'1994-09-08'), (2, array('Danny Ward'), 10, NULL),
       (3, array('Joel Ward'), 10, NULL), (4, array('Erling Haaland'), 20, DATE'2000-07-21') AS t(code, names, team_code, birth_date)""")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import names as NM
+from touchline.operators import search as SE
 from touchline.operators.common import sliced_join, stage, top_per
 from touchline.params import LinkParams
 
@@ -69,6 +70,41 @@ def pair_scores(records: DataFrame, anchors: DataFrame, p: LinkParams = _L) -> D
             .select(*REC, "code", "score", "record_birth", "anchor_birth"))
 
 
+def born_together(records: DataFrame, anchors: DataFrame, p: LinkParams = _L) -> DataFrame:
+    """REC, code, score of all records and anchors with one birth date whose name score is the acceptance score or more.
+
+    ``records``: REC, born, spelled; ``anchors``: code, born, spellings. A birth date can belong to many people, so it
+    is only half of the key. A score that high comes from strings of few edits, which keep a piece in
+    common (``similar_strings``), or from a token rule, which needs the surname of one among the
+    tokens of the other; the join is on the date and such a piece or token, with hot keys cut into slices.
+    """
+    a = anchors.select("code", "born", F.explode("spellings").alias("spelling"))
+    found = []
+    for form in ("norm", "sorted"):
+        close = SE.similar_strings(records.select("born", F.col(f"spelled.{form}").alias("q")), a.select("born", F.col(f"spelling.{form}").alias("key")),
+                                   p.accept_score, by=["born"])
+        own = records.select(*REC, "born", F.col(f"spelled.{form}").alias("q"))
+        theirs = a.select("code", "born", F.col(f"spelling.{form}").alias("key"))
+        found.append(own.join(close, ["born", "q"]).join(theirs, ["born", "key"]).select(*REC, "code"))
+    # A name without tokens equals other such names only; the empty token stands for it.
+    held = F.when(F.size("toks") > 0, F.array_distinct("toks")).otherwise(F.array(F.lit("")))
+    surname = F.array(F.element_at(held, -1))
+    last = F.when(F.size("toks") > 0, F.array(F.try_element_at("toks", F.lit(-1)))).otherwise(surname)
+
+    def keyed(df: DataFrame, tokens: Column, *cols: str) -> DataFrame:
+        return df.select(*cols, F.explode(tokens).alias("token"), "born").withColumn("key", F.concat_ws("|", F.col("born").cast("string"), "token")).drop("token", "born")
+
+    r = records.select(*REC, "born", F.col("spelled.toks").alias("toks"))
+    names = a.select("code", "born", F.col("spelling.toks").alias("toks"))
+    for mine, theirs in ((last, held), (held, last)):
+        found.append(sliced_join(keyed(r, mine, *REC), keyed(names, theirs, "code"), "key", "source_id").select(*REC, "code"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return (pairs.distinct().join(records.select(*REC, "spelled"), REC).join(anchors.select("code", "spellings"), "code")
+            .withColumn("score", _score(p)).filter(F.col("score") >= p.accept_score).select(*REC, "code", "score"))
+
+
 def link_decide(records: DataFrame, anchors: DataFrame, overrides: DataFrame,
                 p: LinkParams = _L) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, review, bad overrides) before conflicts are settled.
@@ -113,8 +149,7 @@ def link_decide(records: DataFrame, anchors: DataFrame, overrides: DataFrame,
     unsure = rows.filter("reason is not null")
     dated = _spelled_records(unsure.filter(F.col("birth_date").isNotNull())).withColumnRenamed("birth_date", "born")
     born = _spelled_anchors(anchors).drop("team_code").withColumnRenamed("anchor_birth", "born").filter(F.col("born").isNotNull())
-    elsewhere = (sliced_join(dated, born, "born", "source_id")
-                 .withColumn("score", _score(p)).filter(F.col("score") >= p.accept_score)
+    elsewhere = (born_together(dated, born, p)
                  .groupBy(*REC).agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("code"), F.max("score").alias("score"))
                  .filter("n = 1").select(*REC, "code", F.bround("score", 1).alias("score"),
                                          F.lit("dob_any_club").alias("method")))

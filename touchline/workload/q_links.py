@@ -34,7 +34,11 @@ view("l_record", f"""SELECT *, {_NORM.format(x='name')} AS norm, {_SORTED.format
 view("l_override", """SELECT source, source_id, CASE WHEN (ok + pk) % 501 = 0 THEN 'none' ELSE code END AS code FROM l_record WHERE (ok * 7 + pk) % 97 = 0""")
 view("l_pair", """SELECT r.source, r.source_id, a.code, r.norm AS b, r.srt AS bs, a.norm AS a, a.srt AS asrt, r.birth, a.ship
   FROM (SELECT *, unnest(teams) AS team FROM l_record) r JOIN l_spelling a ON a.ok = r.team""")
-view("l_any", """SELECT r.source, r.source_id, a.code, r.norm AS b, r.srt AS bs, a.norm AS a, a.srt AS asrt FROM l_record r JOIN l_spelling a ON a.ship = r.birth""")
+# A score of 88 needs few edits, or the surname of one name in the other.
+_MAY = " OR ".join(f"(100 * (1 - abs(length(a.{c}) - length(r.{c})) / greatest(length(a.{c}), length(r.{c}))::DOUBLE) >= 88 AND "
+                   f"100 * (1 - levenshtein(a.{c}, r.{c}) / greatest(length(a.{c}), length(r.{c}))::DOUBLE) >= 88)" for c in ("norm", "srt"))
+view("l_any", f"""SELECT r.source, r.source_id, a.code, r.norm AS b, r.srt AS bs, a.norm AS a, a.srt AS asrt FROM l_record r JOIN l_spelling a ON a.ship = r.birth
+  WHERE {_MAY} OR list_contains(string_split(a.norm, ' '), string_split(r.norm, ' ')[-1]) OR list_contains(string_split(r.norm, ' '), string_split(a.norm, ' ')[-1])""")
 _SAME = "(u = short[{j}] OR (least(length(u), length(short[{j}])) >= 3 AND (starts_with(u, short[{j}]) OR starts_with(short[{j}], u))))"
 
 
@@ -42,7 +46,8 @@ def _token_sql(pairs: str) -> str:
     sql = f"""SELECT a, b, ta, tb, short, lng, coalesce(list_position(lng, short[-1]), 0) > 0 AS ok,
       list_concat(lng[1:coalesce(list_position(lng, short[-1]), 0) - 1], lng[coalesce(list_position(lng, short[-1]), 0) + 1:]) AS rest FROM (
       SELECT *, CASE WHEN len(ta) <= len(tb) THEN ta ELSE tb END AS short, CASE WHEN len(ta) <= len(tb) THEN tb ELSE ta END AS lng FROM (
-        SELECT a, b, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb FROM (SELECT DISTINCT a, b FROM {pairs})))"""
+        SELECT a, b, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb FROM (SELECT DISTINCT a, b FROM {pairs}
+          WHERE list_contains(string_split(a, ' '), string_split(b, ' ')[-1]) OR list_contains(string_split(b, ' '), string_split(a, ' ')[-1]))))"""
     for j in range(1, 5):
         sql = f"""SELECT a, b, ta, tb, short, lng, ok AND ({j} >= len(short) OR p > 0) AS ok,
           CASE WHEN {j} < len(short) AND p > 0 THEN list_concat(rest[1:p - 1], rest[p + 1:]) ELSE rest END AS rest FROM (
@@ -55,7 +60,7 @@ def _score_sql(pairs: str, rules: str, extra: str) -> str:
     sim = "100 * (1 - levenshtein({x}, {y}) / greatest(length({x}), length({y}))::DOUBLE)"
     return f"""SELECT p.source, p.source_id, p.code, {extra} max(greatest({sim.format(x='p.a', y='p.b')}, {sim.format(x='p.asrt', y='p.bs')},
       CASE t.rule WHEN 'tokens' THEN 95.0::DOUBLE WHEN 'initial' THEN 90.0::DOUBLE ELSE 0 END)) AS score
-      FROM {pairs} p JOIN {rules} t ON t.a = p.a AND t.b = p.b GROUP BY p.source, p.source_id, p.code {', p.birth, p.ship' if extra else ''}"""
+      FROM {pairs} p LEFT JOIN {rules} t ON t.a = p.a AND t.b = p.b GROUP BY p.source, p.source_id, p.code {', p.birth, p.ship' if extra else ''}"""
 
 
 view("l_rule", _token_sql("l_pair"))
@@ -139,7 +144,7 @@ def sorted_tokens(spark, sf):
     return records(spark, sf).select("source", "source_id", NM.sorted_tokens("name").alias("sorted"))
 
 
-@query("token_match", "SELECT a, b, rule FROM l_rule")
+@query("token_match", "SELECT a, b, rule FROM (SELECT DISTINCT a, b FROM l_pair) LEFT JOIN l_rule USING (a, b)")
 def token_match(spark, sf):
     spelled = anchors(spark, sf).select("team_code", F.explode("names").alias("n")).select(
         "team_code", NM.normalise_name("n").alias("a"))

@@ -215,3 +215,39 @@ def test_replace_by_source_is_idempotent(spark, tmp_path):
         SK.replace_by_source(df, str(tmp_path / "f"), ["fpl"])
     out = SK.store_ml_outputs(spark, None, None, str(tmp_path / "ml"))
     assert out["player_role"].count() == 0 and out["player_value_score"].count() == 0
+
+
+def test_loads_survive_a_break_and_read_their_own_target(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "f")
+    df = spark.createDataFrame([(1, "fpl"), (2, "fpl"), (3, "espn"), (4, "a b:c")], "id int, source string")
+    everything = ["fpl", "espn", "a b:c"]
+    SK.replace_by_source(df, path, everything)
+
+    def ids():
+        return sorted(r["id"] for r in spark.read.parquet(path).collect())
+
+    # A load that cannot be computed changes nothing.
+    with pytest.raises(Exception, match="not replaced"):
+        SK.replace_by_source(df.withColumn("id", F.col("id") + 10), path, ["fpl", "espn"])
+    assert ids() == [1, 2, 3, 4] and not any(p.suffix == ".json" for p in (tmp_path / "f.loads").iterdir())
+    # Broken off after the first folder has changed places: the next one to look finishes it.
+    real, moved = SK.Files.move, []
+
+    def once(self, source, to):
+        if "source=" in to:
+            if moved:
+                raise OSError("executor room on fire")
+            moved.append(to)
+        real(self, source, to)
+
+    monkeypatch.setattr(SK.Files, "move", once)
+    with pytest.raises(OSError, match="on fire"):
+        SK.replace_by_source(df.withColumn("id", F.col("id") + 100), path, everything)
+    monkeypatch.undo()
+    assert len(ids()) < 4
+    assert sorted(r["id"] for r in SK.read_by_source(spark, path).collect()) == [101, 102, 103, 104]
+    # A load of the table from itself.
+    own = spark.read.parquet(path).withColumn("id", F.col("id") * 2)
+    written = {r["source"]: r["written"] for r in SK.replace_by_source(own.filter("source != 'espn'"), path, ["fpl", "espn", "a b:c"]).collect()}
+    assert written == {"fpl": 2, "a b:c": 1} and ids() == [202, 204, 208]
+    assert SK.Files(spark, path).names(f"{path}.loads") == []

@@ -123,10 +123,24 @@ class RoleFit:
     converged: bool = True
 
 
-def _with_vectors(matrix: DataFrame, kpis: Sequence[str]) -> DataFrame:
+def with_vectors(matrix: DataFrame, kpis: Sequence[str]) -> DataFrame:
     return matrix.select("player_id", F.array(*kpis).alias("z")).withColumn("v", array_to_vector("z"))
 
 
+def _stepped(s: dict[str, np.ndarray], p: RoleParams) -> tuple[Mixture, float, float]:
+    """M step: the model of summed statistics, the log-likelihood of the one they were taken under, and the number of rows."""
+    count = s["n"][:, 0] + 1e-12
+    n = count.sum()
+    means = s["x"] / count[:, None]
+    variances = np.maximum(s["xx"] / count[:, None] - means**2, 0.0) + p.covariance_floor
+    return Mixture(count / n, means, variances), float(s["ll"][0, 0]), n
+
+
+def em_step(data: DataFrame, model: Mixture, p: RoleParams = RoleParams()) -> tuple[Mixture, float, float]:
+    """One step from a given model: the next one, the log-likelihood of the given one, and the number of rows."""
+    return _stepped(_statistics(data, {0: model})[0], p)
+
+
 def fit_mixtures(data: DataFrame, ks: Sequence[int], d: int, seed: int, p: RoleParams):
     """EM for every k at once: each step is a single pass that serves all open models."""
     models = {k: _kmeans_start(data, k, seed, d) for k in ks}
@@ -135,15 +149,12 @@ def fit_mixtures(data: DataFrame, ks: Sequence[int], d: int, seed: int, p: RoleP
     n = 0.0
     for _ in range(p.max_iter):
         for k, s in _statistics(data, {k: models[k] for k in open_}).items():
-            count = s["n"][:, 0] + 1e-12
-            n = count.sum()
-            trace[k].append(float(s["ll"][0, 0]))
-            means = s["x"] / count[:, None]
-            variances = np.maximum(s["xx"] / count[:, None] - means**2, 0.0) + p.covariance_floor
+            stepped, likelihood, n = _stepped(s, p)
+            trace[k].append(likelihood)
             if len(trace[k]) > 1 and abs(trace[k][-1] - trace[k][-2]) / n < p.tolerance:
                 open_.discard(k)
                 continue
-            models[k] = Mixture(count / n, means, variances)
+            models[k] = stepped
         if not open_:
             break
     return models, trace, int(round(n)), set(ks) - open_
@@ -151,7 +162,7 @@ def fit_mixtures(data: DataFrame, ks: Sequence[int], d: int, seed: int, p: RoleP
 
 def role_clusters(matrix: DataFrame, kpis: Sequence[str], p: RoleParams = RoleParams()) -> tuple[RoleFit, DataFrame]:
     """Fit k_min..k_max and keep the lowest BIC; (fit, player_id + cluster)."""
-    data = stage(_with_vectors(matrix, kpis), "role-matrix").persist()
+    data = stage(with_vectors(matrix, kpis), "role-matrix").persist()
     n = data.count()
     if n < 2:
         raise ValueError(f"need at least 2 players to fit roles, got {n}")
@@ -177,7 +188,7 @@ def assign(data: DataFrame, model: Mixture) -> DataFrame:
 def refit_assignments(matrix: DataFrame, kpis: Sequence[str], k: int, seed: int,
                       p: RoleParams = RoleParams()) -> DataFrame:
     """Assignments of a fit with another seed, for the stability score."""
-    data = stage(_with_vectors(matrix, kpis), "role-matrix").persist()
+    data = stage(with_vectors(matrix, kpis), "role-matrix").persist()
     models, _trace, _n, _settled = fit_mixtures(data, [k], len(kpis), seed, p)
     data.unpersist()
     return assign(data, models[k])
@@ -201,7 +212,7 @@ def cluster_labels(matrix: DataFrame, assignments: DataFrame, kpis: Sequence[str
 
 def silhouette(matrix: DataFrame, assignments: DataFrame, kpis: Sequence[str]) -> float:
     """Mean silhouette with squared Euclidean distance."""
-    rows = _with_vectors(matrix, kpis).join(assignments, "player_id")
+    rows = with_vectors(matrix, kpis).join(assignments, "player_id")
     return ClusteringEvaluator(featuresCol="v", predictionCol="cluster", metricName="silhouette").evaluate(
         rows.withColumn("cluster", F.col("cluster").cast("double")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -9,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline import catalogue
@@ -114,7 +115,15 @@ def value_band(pred: DataFrame, residuals: DataFrame, v: ValueParams = _V) -> Da
 
     ``pred`` has yhat; ``residuals`` has position_group, age and residual (y - yhat).
     """
-    table = grouped_quantiles(residuals, "residual", {"__lo": v.low_quantile, "__hi": v.high_quantile}, v)
+    return band_from(pred, residual_quantiles(residuals, v), v)
+
+
+def residual_quantiles(residuals: DataFrame, v: ValueParams = _V) -> DataFrame:
+    return grouped_quantiles(residuals, "residual", {"__lo": v.low_quantile, "__hi": v.high_quantile}, v)
+
+
+def band_from(pred: DataFrame, table: DataFrame, v: ValueParams = _V) -> DataFrame:
+    """``value_band`` from the residual quantiles."""
     out = with_fallback(pred, table, ["__lo", "__hi"], v)
     ordered = F.array_sort(F.array(F.col("yhat") + F.least("__lo", "__hi"), F.col("yhat"), F.col("yhat") + F.greatest("__lo", "__hi")))
     return (out.withColumn("__b", ordered).withColumns({
@@ -184,7 +193,7 @@ def value_model(frame: DataFrame, v: ValueParams = _V) -> ValueModel:
 
     The season list has one row per season; metrics are single numbers.
     """
-    frame = C.stage(frame, "value-frame").persist()
+    frame = C.stage(frame, "value-frame")
     seasons = sorted(r["season_id"] for r in frame.select("season_id").distinct().collect())
     if len(seasons) < 2:
         raise ValueError(f"need labelled rows from at least 2 seasons, got {seasons}")
@@ -218,6 +227,22 @@ def score_with(model: ValueModel, frame: DataFrame) -> DataFrame:
     return score_players(widen(banded, model.adjustment))
 
 
+def band_table(model: ValueModel) -> DataFrame:
+    """What scoring needs beside the trees: residual quantiles per level and the calibration, a row per level."""
+    return residual_quantiles(model.residuals, model.params).withColumnsRenamed({"__lo": "low", "__hi": "high"}).withColumn("adjustment", F.lit(model.adjustment))
+
+
+def score_saved(spark: SparkSession, path: str, frame: DataFrame, v: ValueParams = _V) -> DataFrame:
+    """``score_with`` from a saved model, its metadata and band table."""
+    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()}
+    columns = [c for c in feature_names(v.stats) if c in ast.literal_eval(meta["features"])]
+    band = spark.read.parquet(f"{path}/band")
+    adjustment = band.agg(F.max("adjustment")).first()[0]
+    trees = ValueModel(columns, PipelineModel.load(f"{path}/model"), band, adjustment, {}, [], "", v)
+    table = band.drop("adjustment").withColumnsRenamed({"low": "__lo", "high": "__hi"})
+    return score_players(widen(band_from(trees.predict(frame), table, v), adjustment))
+
+
 def metadata(model: ValueModel) -> dict[str, object]:
     return {"features": model.columns, "train_seasons": model.train_seasons, "test_season": model.test_season,
             "seed": model.params.seed, **{k: (None if isinstance(v, float) and math.isnan(v) else v)

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from touchline import catalogue
 from touchline.functions import scalars as S
+from touchline.operators import careers as CA
 from touchline.operators import common as C
 from touchline.operators import roles as R
 from touchline.operators import similarity as SI
 from touchline.operators import totals as T
 from touchline.operators import value as V
 from touchline.params import MARKET_PRECEDENCE, RoleParams
+from touchline.plans import training as TR
+from touchline.sources import sinks as SK
 from touchline.workload import bindings as B
-from touchline.workload.q_careers import VALUE, blended_now, labelled
+from touchline.workload.q_careers import AGES, VALUE, blended_now, labelled, pairs
 from touchline.workload.q_features import METHOD, staged_features
 from touchline.workload.registry import query, r6, rounded
 from touchline.workload.sqltext import view
@@ -90,12 +96,43 @@ def by_modulo(matrix, k):
     return matrix.select("player_id", (F.col("player_id") % k).cast("int").alias("cluster"))
 
 
+_RUNS: dict[tuple[str, str], TR.TrainRun] = {}
+
+
+def trained(spark, sf):
+    """The training run over the whole tables, fitted once per session for all queries that read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        _RUNS[key] = TR.train(role_matrix_of(spark, sf), ROLE_KPIS, training(spark, sf), scoring(spark, sf), R.short_names(),
+                              trained_at=B.TODAY, roles=ROLES, value=VALUE)
+    return _RUNS[key]
+
+
 @query("role_clusters")
 def role_clusters(spark, sf):
     """Assignments of the chosen mixture with the BIC of every k next to them."""
-    fit, assigned = R.role_clusters(role_matrix_of(spark, sf), ROLE_KPIS, ROLES)
-    bic = ", ".join(f"{k}: {v:.3f}" for k, v in sorted(fit.bic.items()))
-    return assigned.withColumn("k", F.lit(fit.k)).withColumn("bic", F.lit(bic))
+    run = trained(spark, sf)
+    bic = ", ".join(f"{k}: {v:.3f}" for k, v in sorted(run.roles.bic.items()))
+    return run.assignments.withColumn("k", F.lit(run.roles.k)).withColumn("bic", F.lit(bic))
+
+
+# One step of the mixture from a fixed start: three components of equal weight at -1, 0 and 1 in every KPI, variance 1.
+STARTS = (-1.0, 0.0, 1.0)
+_JOINT = ", ".join(f"-0.5 * ({' + '.join(f'({k} - {m}) * ({k} - {m})' for k in ROLE_KPIS)})" for m in STARTS)
+view("m_joint", f"SELECT *, list_transform(j, lambda x: exp(x - list_max(j))) AS e FROM (SELECT *, [{_JOINT}] AS j FROM m_role)")
+view("m_step", "SELECT c, sum(r) AS n, " + ", ".join(f"sum(r * {k}) / sum(r) AS {k}_m, sum(r * {k} * {k}) / sum(r) AS {k}_q" for k in ROLE_KPIS)
+     + " FROM (SELECT *, e[c + 1] / list_sum(e) AS r FROM m_joint, (SELECT unnest(range(3)) AS c)) GROUP BY 1")
+_STEP = " UNION ALL ".join(f"SELECT c, '{k}' AS kpi, n, {k}_m AS mean, greatest({k}_q - {k}_m * {k}_m, 0) + {ROLES.covariance_floor} AS variance FROM m_step" for k in ROLE_KPIS)
+
+
+@query("role_em_step", f"SELECT CAST(c AS INT) AS cluster, kpi, round(n / sum(n) OVER (PARTITION BY kpi), 6) AS weight, round(mean, 6) AS mean, round(variance, 6) AS variance FROM ({_STEP})")
+def role_em_step(spark, sf):
+    """E and M step of the mixture over all players from a fixed start."""
+    d = len(ROLE_KPIS)
+    start = R.Mixture(np.full(3, 1 / 3), np.array([[m] * d for m in STARTS]), np.ones((3, d)))
+    model, _ll, _n = R.em_step(R.with_vectors(role_matrix_of(spark, sf), ROLE_KPIS), start, ROLES)
+    rows = [(i, k, float(model.weights[i]), float(model.means[i, j]), float(model.variances[i, j])) for i in range(3) for j, k in enumerate(ROLE_KPIS)]
+    return rounded(spark.createDataFrame(rows, "cluster int, kpi string, weight double, mean double, variance double"), "weight", "mean", "variance")
 
 
 _NAMES = R.short_names()
@@ -242,13 +279,97 @@ def band_label(spark, sf):
 @query("value_model")
 def value_model(spark, sf):
     """Held-out evaluation of the boosted trees, one row per metric."""
-    model = V.value_model(training(spark, sf), VALUE)
-    rows = [(k, float(v)) for k, v in model.metrics.items()]
+    rows = [(k, float(v)) for k, v in trained(spark, sf).value.metrics.items()]
     return spark.createDataFrame(rows, "metric string, value double")
 
 
+view("m_split", "SELECT *, season_id = (SELECT max(season_id) FROM m_bucketed) AS held FROM m_bucketed")
+view("m_split_median", """SELECT position_group, bucket, quantile_cont(log_value, 0.5) AS median FROM m_split WHERE NOT held AND bucket IS NOT NULL GROUP BY 1, 2
+  UNION ALL SELECT position_group, NULL, quantile_cont(log_value, 0.5) FROM m_split WHERE NOT held GROUP BY 1
+  UNION ALL SELECT NULL, NULL, quantile_cont(log_value, 0.5) FROM m_split WHERE NOT held""")
+view("m_split_pred", """SELECT s.log_value AS y, coalesce(c.median, g.median, (SELECT median FROM m_split_median WHERE position_group IS NULL)) AS yhat FROM m_split s
+  LEFT JOIN m_split_median c ON c.position_group = s.position_group AND c.bucket = s.bucket
+  LEFT JOIN m_split_median g ON g.position_group = s.position_group AND g.bucket IS NULL WHERE s.held""")
+
+
+@query("value_model_split", """SELECT (SELECT count(*) FROM m_split WHERE NOT held) AS n_train, (SELECT count(*) FROM m_split WHERE held) AS n_test,
+  (SELECT max(season_id) FROM m_split) AS test_season, round(avg(abs(yhat - y)), 6) AS baseline_mae_log,
+  round(quantile_cont(abs(exp(yhat - y) - 1), 0.5), 6) AS baseline_median_abs_pct_error, true AS covers, true AS improvement_agrees FROM m_split_pred""")
+def value_model_split(spark, sf):
+    """What of the evaluation does not hang on the trees, and what must hold of the rest: the calibrated band covers at
+    least its share of the held-out rows, and the improvement is that of the two errors."""
+    model = trained(spark, sf).value
+    m = model.metrics
+    improvement = 100.0 * (1.0 - m["mae_log"] / m["baseline_mae_log"])
+    row = (int(m["n_train"]), int(m["n_test"]), model.test_season, m["baseline_mae_log"], m["baseline_median_abs_pct_error"],
+           bool(m["calibrated_coverage"] >= VALUE.high_quantile - VALUE.low_quantile), bool(abs(improvement - m["improvement_pct"]) < 1e-9))
+    return rounded(spark.createDataFrame([row], "n_train bigint, n_test bigint, test_season string, baseline_mae_log double, "
+                                                "baseline_median_abs_pct_error double, covers boolean, improvement_agrees boolean"),
+                   "baseline_mae_log", "baseline_median_abs_pct_error")
+
+
 @query("score_players")
 def score_players(spark, sf):
-    model = V.value_model(training(spark, sf), VALUE)
-    return V.score_with(model, scoring(spark, sf)).select(
+    return trained(spark, sf).scores.select(
         "player_id", "season_id", "value_eur", "implied_value_eur", "band_low_eur", "band_high_eur", "value_label")
+
+
+# -- the run's sinks --------------------------------------------------------------------
+
+def folder(spark, name):
+    return f"{C.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("store_ml_outputs", f"""SELECT 'player_role' AS name, '{B.TODAY}' AS trained_at, count(*) AS rows, count(DISTINCT player_id) AS players, true AS labelled FROM m_role
+  UNION ALL SELECT 'player_value_score', '{B.TODAY}', count(*), count(DISTINCT player_id), true FROM m_scoring""")
+def store_ml_outputs(spark, sf):
+    """Both output tables of the training run: receipts, players, and whether every row has a label of its model."""
+    out = TR.store(trained(spark, sf), spark, folder(spark, "ml"))
+    facts = {"player_role": F.col("label").rlike("^(high|low) .+, (high|low) .+$"),
+             "player_value_score": F.col("value_label").isin(*TR.VALUE_LABELS) & (F.col("band_low_eur") <= F.col("implied_value_eur")) & (F.col("implied_value_eur") <= F.col("band_high_eur"))}
+    seen = None
+    for name, df in out.items():
+        row = df.agg(F.countDistinct("player_id").alias("players"), F.min(facts[name]).alias("labelled")).select(F.lit(name).alias("name"), "*")
+        seen = row if seen is None else seen.unionByName(row)
+    return T.model_runs(out).join(seen, "name")
+
+
+@query("save_model", f"""SELECT 'roles' AS model, 'features' AS key, '{",".join(ROLE_KPIS)}' AS value UNION ALL SELECT 'roles', 'n_players', CAST(count(*) AS VARCHAR) FROM m_role
+  UNION ALL SELECT 'roles', 'trained_at', '{B.TODAY}' UNION ALL SELECT 'value', 'trained_at', '{B.TODAY}' UNION ALL SELECT 'value', 'seed', '{VALUE.seed}'
+  UNION ALL SELECT 'value', 'test_season', max(season_id) FROM m_bucketed UNION ALL SELECT 'value', 'n_test', CAST(count(*) AS DOUBLE)::VARCHAR FROM m_split WHERE held
+  UNION ALL SELECT 'roles', 'moved after reload', '0' UNION ALL SELECT 'value', 'changed after reload', '0'""")
+def save_model(spark, sf):
+    """Metadata of both saved models, and how many players the reloaded ones place or score in another way."""
+    run, path = trained(spark, sf), folder(spark, "model")
+    saved = TR.save_models(run, spark, path)
+    known = {"roles": ("features", "n_players", "trained_at"), "value": ("trained_at", "seed", "test_season", "n_test")}
+    rows = None
+    for name, df in saved.items():
+        part = df.filter(F.col("key").isin(*known[name])).select(F.lit(name).alias("model"), "key", "value")
+        rows = part if rows is None else rows.unionByName(part)
+    kpis, mixture = SK.load_mixture(spark, f"{path}/roles")
+    again = R.assign(R.with_vectors(role_matrix_of(spark, sf), kpis), mixture).withColumnRenamed("cluster", "again")
+    moved = run.assignments.join(again, "player_id", "full").filter(~F.col("again").eqNullSafe(F.col("cluster")))
+    scores = V.score_saved(spark, f"{path}/value", scoring(spark, sf), VALUE).select("player_id", "season_id", F.col("implied_value_eur").alias("v"), F.col("band_high_eur").alias("h"))
+    same = (F.abs(F.col("v") / F.col("implied_value_eur") - 1) < 1e-9) & (F.abs(F.col("h") / F.col("band_high_eur") - 1) < 1e-9)
+    changed = run.scores.join(scores, ["player_id", "season_id"], "full").filter(~F.coalesce(same, F.lit(False)))
+    for name, key, df in (("roles", "moved after reload", moved), ("value", "changed after reload", changed)):
+        rows = rows.unionByName(df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(name).alias("model"), F.lit(key).alias("key"), "value"))
+    return rows
+
+
+@query("evaluation_tables", f"""SELECT 'skipped' AS name, 0 AS rows UNION ALL SELECT 'similarity', CAST(sum(least(3, n - 1)) AS BIGINT) FROM (SELECT count(DISTINCT player_id) AS n FROM m_vec GROUP BY position_group)
+  UNION ALL SELECT 'age_curves', count(*) FROM v_curve UNION ALL SELECT 'role_bic', least({ROLES.k_max}, count(*) - 1) - least({ROLES.k_min}, count(*) - 1) + 1 FROM m_role
+  UNION ALL SELECT 'role_scores', 3 UNION ALL SELECT 'value_metrics', 10 UNION ALL SELECT 'value_labels', 3
+  UNION ALL SELECT 'value_features', count(*) FROM ({" UNION ALL ".join(f"SELECT count(DISTINCT {expr}) >= 2 AS kept FROM v_training" for expr in
+    ["age", "age * age", "minutes_share", "team_ppg", *[f"{s}_p90" for s in VALUE.stats], _CODE])}) WHERE kept
+  UNION ALL SELECT 'players in role_clusters', count(*) FROM m_role UNION ALL SELECT 'players in value_labels', count(*) FROM m_scoring""")
+def evaluation_tables(spark, sf):
+    """Rows of every diagnostic table of the run (of the clusters, whose number the fit chooses, their players)."""
+    run, path = trained(spark, sf), folder(spark, "evaluation")
+    feats = blended_features(spark, sf)
+    similar = SI.similarity_examples(SI.similarity_vectors(feats), feats)
+    out = SK.evaluation_tables(TR.diagnostics(run, spark, similar, CA.age_curve(pairs(spark, sf), AGES)), path).filter("name != 'role_clusters'")
+    for name in ("role_clusters", "value_labels"):
+        out = out.unionByName(spark.read.parquet(f"{path}/{name}").agg(F.sum("players").alias("rows")).select(F.lit(f"players in {name}").alias("name"), "rows"))
+    return out

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
@@ -232,7 +230,7 @@ def replace_by_source(spark, sf):
     rows = B.fact(spark, sf).withColumn("load", F.lit(1))
     SK.replace_by_source(rows.unionByName(rows.limit(1).withColumn("source", F.lit("gone"))), path, ["fpl", "understat", "vaastav", "gone"])
     SK.replace_by_source(rows.filter(F.col("source") == "fpl").withColumn("load", F.lit(2)), path, ["fpl", "gone"])
-    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("load") == 2).alias("replaced"))
+    return SK.read_by_source(spark, path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("load") == 2).alias("replaced"))
 
 
 @query("replace_features", "SELECT season_mode, count(*) AS n, count(percentile) AS ranked FROM f_features GROUP BY 1")
@@ -243,22 +241,6 @@ def replace_features(spark, sf):
     return SK.replace_features(feats, path).groupBy("season_mode").agg(F.count(F.lit(1)).alias("n"), F.count("percentile").alias("ranked"))
 
 
-@query("store_ml_outputs", """SELECT 'player_role' AS name, count(*) AS rows FROM v_player WHERE position_group IS NOT NULL UNION ALL SELECT 'player_value_score', 0""")
-def store_ml_outputs(spark, sf):
-    players = B.dim_player(spark, sf).filter("position_group is not null")
-    roles = players.select("player_id", F.lit("blended").alias("season_mode"), (F.col("player_id") % 6).cast("int").alias("cluster"),
-                           F.col("position_group").alias("label"), F.lit(B.TODAY).alias("trained_at"))
-    out = SK.store_ml_outputs(spark, roles, None, folder(spark, "ml"))
-    return T.model_runs(out).select("name", "rows")
-
-
-@query("save_model", """SELECT 'rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM v_totals UNION ALL SELECT 'features', 'minutes,goals'""")
-def save_model(spark, sf):
-    totals = T.player_season(B.fact(spark, sf))
-    model = Pipeline(stages=[VectorAssembler(inputCols=["minutes", "goals"], outputCol="v")]).fit(totals)
-    return SK.save_model(model, {"rows": totals.count(), "features": "minutes,goals"}, spark, folder(spark, "model"))
-
-
 @query("build_summary", """SELECT 'fpl,understat,vaastav' AS sources, (SELECT count(*) FROM v_fact) AS rows, 5 AS issues, (SELECT round(least(a, b) / c, 6) FROM (SELECT
     sum(CASE WHEN understat_id IS NOT NULL THEN mins ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN tm_id IS NOT NULL THEN mins ELSE 0 END)::DOUBLE AS b, sum(mins)::DOUBLE AS c FROM v_fact JOIN v_player USING (player_id) WHERE source = 'fpl')) AS min_coverage,
   (SELECT count(*) FROM v_player WHERE tm_id IS NULL) AS review_count, false AS valid""")
@@ -269,14 +251,6 @@ def build_summary(spark, sf):
     return rounded(SK.build_summary(written, Q.validate_tables(staged(spark, sf), RULES), cover, players.filter("tm_id is null")), "min_coverage")
 
 
-@query("evaluation_tables", """SELECT 'standings' AS name, count(*) AS rows FROM v_standings UNION ALL SELECT 'season_bounds', count(DISTINCT season_id) FROM v_match WHERE kickoff IS NOT NULL
-  UNION ALL SELECT 'totals', count(*) FROM v_totals""")
-def evaluation_tables(spark, sf):
-    match = B.dim_match(spark, sf)
-    return SK.evaluation_tables({"standings": T.standings(match), "season_bounds": T.season_bounds(match),
-                                 "totals": T.player_season(B.fact(spark, sf))}, folder(spark, "evaluation"))
-
-
 # -- dimensions -------------------------------------------------------------------------
 
 SLOTS = (*catalogue.SLOT_GROUPS, "Sub")

@@ -198,6 +198,15 @@ def test_snapshots_and_drift(spark, land):
     now = F.lit("2026-01-03 00:00:00").cast("timestamp_ntz")
     assert [r["name"] for r in SN.latest_snapshot(SN.list_files(spark, land.root), 48, now).collect()] == ["a.json"]
     assert SN.snapshot_audit(spark, land.root).filter("length(checksum) = 64").count() == 3
+    import hashlib
+    csv = b"id,v\n1,a\n2,b\n\n"
+    land("vaastav", "x.csv", csv)
+    land("vaastav", "y.csv.gz", gzip.compress(csv))
+    land("vaastav", "z.json", "{}\n{}\n{}")
+    land("vaastav", "none.csv", b"id,v\n")
+    rows = {r["name"]: (r["rows"], r["bytes"], r["checksum"]) for r in SN.snapshot_audit(spark, f"{land.root}/vaastav").collect()}
+    assert {k: v[0] for k, v in rows.items()} == {"x.csv": 2, "y.csv.gz": 2, "z.json": 3, "none.csv": 0}
+    assert rows["x.csv"][1:] == (len(csv), hashlib.sha256(csv).hexdigest())
     have = spark.createDataFrame([], "a int, s struct<x: int>, l array<struct<y: int>>").schema
     need = spark.createDataFrame([], "a int, b int, s struct<x: int, z: int>, l array<struct<y: int, w: int>>").schema
     assert Q.schema_drift(have, need) == ["b", "s.z", "l.w"]

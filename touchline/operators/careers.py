@@ -221,14 +221,17 @@ def compare_entities(pairs: DataFrame, features: DataFrame, needs: DataFrame) ->
     ``pairs``: a, b, team_id, position_group; ``needs``: team_id, position_group, kpi the club
     trails on. KPIs only one of the two has are kept.
     """
-    a = pairs.join(features.select(F.col("player_id").alias("a"), "kpi", F.col("percentile").alias("pct_a")), "a")
-    b = pairs.join(features.select(F.col("player_id").alias("b"), "kpi", F.col("percentile").alias("pct_b")), "b")
-    keys = ["team_id", "position_group", "a", "b", "kpi"]
-    both = a.select(*keys, "pct_a").join(b.select(*keys, "pct_b"), keys, "full_outer")
-    need = needs.select("team_id", "position_group", "kpi").withColumn("is_need", F.lit(True))
-    return (both.join(need, ["team_id", "position_group", "kpi"], "left")
-            .withColumn("delta", F.col("pct_a") - F.col("pct_b"))
-            .withColumn("is_need", F.coalesce("is_need", F.lit(False))))
+    # One map of percentiles per player and one list per club and group, as long as the catalogue; a pair meets each once.
+    sheet = features.groupBy("player_id").agg(F.map_from_entries(F.collect_list(F.struct("kpi", "percentile"))).alias("m"))
+    trails = needs.groupBy("team_id", "position_group").agg(F.collect_set("kpi").alias("trails"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    rows = (pairs.join(sheet.select(F.col("player_id").alias("a"), F.col("m").alias("m_a")), "a", "left")
+            .join(sheet.select(F.col("player_id").alias("b"), F.col("m").alias("m_b")), "b", "left")
+            .join(trails, ["team_id", "position_group"], "left"))
+    both = F.map_zip_with(F.coalesce("m_a", none), F.coalesce("m_b", none), lambda _k, x, y: F.struct(x.alias("pct_a"), y.alias("pct_b")))
+    rows = rows.select("team_id", "position_group", "a", "b", "trails", F.explode(both).alias("kpi", "p"))
+    return rows.select("team_id", "position_group", "a", "b", "kpi", "p.pct_a", "p.pct_b", (F.col("p.pct_a") - F.col("p.pct_b")).alias("delta"),
+                       F.coalesce(F.array_contains("trails", F.col("kpi")), F.lit(False)).alias("is_need"))
 
 
 def attach_value_score(candidates: DataFrame, scores: DataFrame, season) -> DataFrame:

@@ -12,6 +12,7 @@ from touchline.functions import scalars as S
 from touchline.operators import careers as CA
 from touchline.operators import needs as N
 from touchline.operators import totals as T
+from touchline.operators.common import stage
 from touchline.params import DiagnosisParams, Methodology
 from touchline.plans import features as PF
 
@@ -29,19 +30,25 @@ def backtest(totals: DataFrame, padj: DataFrame, players: DataFrame, table: Data
     ``totals`` and ``padj`` are club rows of every season; ``table`` is every season's table.
     """
     prev, before = S.previous_season(cur), S.previous_season(cur, 2)
+    season = F.col("season_id")
+    # Inputs that several branches read are computed once: season totals, possession totals, people, and who arrived.
+    totals = stage(totals.filter((season == cur) | (season == prev) | (season == before)), "backtest-totals")
+    padj = stage(padj.filter((season == prev) | (season == before)), "backtest-padj")
+    people = stage(players.filter(F.col("position_group").isNotNull()), "backtest-players")
+    last = stage(table.filter(season == prev), "backtest-table")
+    kept = stage(last.select("team_id").join(clubs.select("team_id"), "team_id", "left_semi"), "backtest-clubs")
+    signed = stage(CA.arrivals_anti(totals, players, prev, cur, min_minutes), "backtest-arrivals")
+
     replayed = CA.relabel_source(totals, prev)
-    feats = PF.features(T.collapse_clubs(replayed), T.collapse_clubs(CA.relabel_source(padj, prev)),
-                        players, prev, before, m)
+    feats = PF.features(T.collapse_clubs(replayed), T.collapse_clubs(CA.relabel_source(padj, prev)), people, prev, before, m)
     pct = feats.filter(F.col("season_mode") == "blended").select("player_id", "kpi", "percentile")
-    squads = (replayed.filter((F.col("season_id") == prev) & (F.col("source") == "fpl"))
+    squads = (replayed.filter((season == prev) & (F.col("source") == "fpl"))
               .groupBy("team_id", "player_id").agg(F.sum("minutes").alias("minutes"))
-              .join(players.filter(F.col("position_group").isNotNull())
-                    .select("player_id", "position_group"), "player_id"))
-    last = table.filter(F.col("season_id") == prev)
-    kept = last.select("team_id").join(clubs.select("team_id"), "team_id", "left_semi")
+              .join(people.select("player_id", "position_group"), "player_id"))
     members = N.benchmark_members(last, kept, d.benchmark, d.benchmark_sizes)
-    severity = N.need_severity(N.benchmark_gap(N.group_scores(squads, pct), members, kept))
-    signed = CA.arrivals_anti(totals, players, prev, cur, min_minutes)
+    # Read once per club in the gap, so the scores of clubs and groups (a few numbers each) are written.
+    scores = stage(N.group_scores(squads, pct), "backtest-scores")
+    severity = N.need_severity(N.benchmark_gap(scores, members, kept))
     return CA.precision_at_n(N.topk_needs(severity, top_n), signed,
                              CA.most_signed(signed, kept, top_n, catalogue.GROUPS), kept,
                              len(catalogue.GROUPS))

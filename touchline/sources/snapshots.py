@@ -53,13 +53,23 @@ def latest_snapshot(files: DataFrame, max_age_hours: float | None = None, now: C
 
 
 def snapshot_audit(spark: SparkSession, root: str, status: str = "ok") -> DataFrame:
-    """One audit row per landed file: checksum, size, fetch time, status."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """One audit row per landed file: checksum, size, records, fetch time, status.
+
+    ``rows`` counts the records of the written forms of a feed: lines that hold something, less the header of a
+    CSV file (also packed); a document on one line is one. Lines are counted where they are read; a checksum
+    is taken over a whole file, so it may have 2 GB. Files of no bytes are not read by Spark and have no row.
+    """
+    def under(df: DataFrame, *cols) -> DataFrame:
+        return df.select(F.col("_metadata.file_path").alias("file"), *cols)
+
+    files = under(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), "path", "length", F.sha2("content", 256).alias("checksum"))
+    lines = under(spark.read.option("recursiveFileLookup", "true").text(root), "value").filter(F.trim("value") != "").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     pattern = rf"/([^/]+)/{STAMP}/(.+)$"
-    return files.select(
+    header = F.col("path").rlike(r"\.csv(\.gz|\.bz2|\.zst)?$").cast("bigint")
+    return files.join(lines, "file", "left").select(
         F.regexp_extract("path", pattern, 1).alias("source"), F.regexp_extract("path", pattern, 3).alias("name"),
-        fetched_at(F.col("path")).alias("fetched_at"), F.sha2(F.col("content"), 256).alias("checksum"),
-        F.col("length").alias("bytes"), F.lit(status).alias("status")).filter("source != ''")
+        fetched_at(F.col("path")).alias("fetched_at"), "checksum", F.col("length").alias("bytes"),
+        F.greatest(F.coalesce("n", F.lit(0)) - header, F.lit(0)).alias("rows"), F.lit(status).alias("status")).filter("source != ''")
 
 
 def seasons_present(files: DataFrame) -> DataFrame:

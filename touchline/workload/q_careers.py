@@ -19,7 +19,7 @@ from touchline.params import FUZZY_CUTOFF, AgeCurveParams, ValueParams
 from touchline.plans import backtest as BT
 from touchline.plans import shortlist as SL
 from touchline.workload import bindings as B
-from touchline.workload.q_features import METHOD, staged_features, totals_and_padj
+from touchline.workload.q_features import METHOD, staged_features, totals_and_padj, warehouse
 from touchline.workload.q_needs import Inputs
 from touchline.workload.registry import query, r6, rounded
 from touchline.workload.sqltext import view
@@ -237,6 +237,11 @@ view("b_precision", """SELECT c.team_id, coalesce(p.hits, 0) AS hits, CASE WHEN
 
 
 def run_backtest(spark, sf):
+    """The replay of last season, run once per session for both of its readers."""
+    return warehouse(spark, sf, "backtest", lambda: replayed(spark, sf))
+
+
+def replayed(spark, sf):
     cur = B.current_season(spark, sf)
     fact = B.fact(spark, sf)
     totals = T.player_season(fact)

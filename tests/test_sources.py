@@ -182,6 +182,13 @@ def test_overrides_and_events(spark, land):
     good, bad = SC.scan_overrides(spark, path)
     assert [(r["tm_player_id"], r["value_eur"]) for r in SC.market_overrides(good).collect()] == [("7", 1_000_000)]
     assert bad.first()["empty_columns"] == ["value_eur", "reason"]
+    path = land("override", "p.csv", "fpl_code,source,source_id,reason,date\n900, understat ,7,typo,2026-02-01\n901,understat,8,,2026-02-01\n902,understat,7,again,2026-02-02\n")
+    good, bad = SC.scan_player_overrides(spark, path)
+    assert [tuple(r) for r in good.collect()] == [("understat", "7", 902)]
+    assert [(r["source_id"], r["empty_columns"]) for r in bad.collect()] == [("8", ["reason"])]
+    path = land("override", "q.csv", "fpl_code,source,source_id,reason,date\nx1,understat,7,typo,2026-02-01\n")
+    with pytest.raises(Exception, match="unreadable player code"):
+        SC.scan_player_overrides(spark, path)[0].collect()
     path = land("statsbomb", "events-8123.json", [
         {"id": "a", "index": 1, "type": {"id": 30, "name": "Pass"}, "team": {"id": 1, "name": "R"}, "location": [60.0, 40.0], "pass": {"end_location": [70.0, 41.0]}},
         {"id": "b", "index": 2, "type": {"id": 43, "name": "Carry"}, "team": {"id": 1, "name": "R"}, "carry": {"end_location": [1.0, 2.0]}}])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from touchline.functions import scalars as S
 from touchline.operators.common import top_per
 from touchline.params import POSSESSION_TOLERANCE
-from touchline.sources.snapshots import with_origin
+from touchline.sources.snapshots import position, with_origin
 
 # Fields of the feeds.
 BOOTSTRAP = """events array<struct<id: int, deadline_time: string, finished: boolean>>,
@@ -333,6 +333,27 @@ def scan_overrides(spark: SparkSession, path: str, required: Sequence[str] = OVE
     return good, checked.filter(F.size("empty_columns") > 0).select(*required, "empty_columns")
 
 
+PLAYER_OVERRIDE_COLUMNS = ("fpl_code", "source", "source_id", "reason", "date")
+
+
+def scan_player_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(forced links ``source, source_id, code``, rejects with the names of their empty columns).
+
+    Every cell is needed; a record that is named again is linked as its last row says.
+    """
+    df = spark.read.option("header", True).csv(path)
+    if missing := sorted(set(PLAYER_OVERRIDE_COLUMNS) - set(df.columns)):
+        raise SchemaChanged(f"{path}: missing columns {missing}")
+    # The file has a column "source" of its own: the feed that the forced record is from.
+    rows = df.select(*[F.trim(df[c]).alias(c) for c in PLAYER_OVERRIDE_COLUMNS], position())
+    blank = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(c)) for c in PLAYER_OVERRIDE_COLUMNS]))
+    checked = rows.withColumn("empty_columns", blank)
+    last = checked.filter(F.size("empty_columns") == 0).groupBy("source", "source_id").agg(F.max_by("fpl_code", "__position").alias("text"))
+    code = F.col("text").try_cast("bigint")
+    good = last.select("source", "source_id", S.strict(F.struct(code.isNull().alias("bad"), code.alias("value")), "text", "player code").alias("code"))
+    return good, checked.filter(F.size("empty_columns") > 0).select(*PLAYER_OVERRIDE_COLUMNS, "empty_columns")
+
+
 def market_overrides(good: DataFrame) -> DataFrame:
     """Override rows as market values; the entry date is their fetch time."""
     return good.select("tm_player_id", S.strict(S.clean_money("value_eur"), "value_eur", "override value").alias("value_eur"),

@@ -18,15 +18,17 @@ def fetched_at(path: Column) -> Column:
     return F.to_timestamp_ntz(F.when(stamp != "", stamp), F.lit(STAMP_FORMAT))
 
 
-def with_origin(df: DataFrame, source: str) -> DataFrame:
-    """Adds the file path, ``source``, ``fetched_at`` and the row's ``__position`` to freshly read rows.
+def position() -> Column:
+    """``__position`` of a freshly read row, which orders rows as they lie: by file, then by the block that a task reads,
+    then by the row in it (the running number tells apart rows of one block, which one task reads in order)."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row")).alias("__position")
 
-    Positions order rows as they lie: by file, then by the block that a task reads, then by the row in it (the
-    running number tells apart rows of one block, which one task reads in order).
-    """
+
+def with_origin(df: DataFrame, source: str) -> DataFrame:
+    """Adds the file path, ``source``, ``fetched_at`` and ``__position`` to freshly read rows."""
     path = F.col("_metadata.file_path")
-    position = F.struct(path.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return df.select("*", path.alias("__path"), F.lit(source).alias("source"), fetched_at(path).alias("fetched_at"), position.alias("__position"))
+    return df.select("*", path.alias("__path"), F.lit(source).alias("source"), fetched_at(path).alias("fetched_at"), position())
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

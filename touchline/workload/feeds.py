@@ -23,7 +23,7 @@ KINDS = ("GKP", "DEF", "MID", "FWD")
 def landed(spark, sf, *sources) -> str:
     """Root folder with the feeds of ``sources`` (all of them by default) landed once."""
     writers = {"fpl": _fpl, "vaastav": _archive, "understat": _understat, "espn": _espn, "transfermarkt": _market,
-               "override": _overrides, "statsbomb": _events}
+               "override": _overrides, "forced": _forced, "statsbomb": _events}
     key = (spark.sparkContext.applicationId, sf)
     if key not in _ROOTS:
         _ROOTS[key] = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
@@ -181,6 +181,16 @@ def _overrides(spark, sf, root):
                   F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.lit("checked")).alias("reason"), F.lit("2026-01-01").alias("date"), F.col("id").alias("row_id")), f"{root}/override/{STAMP}/market_value_overrides.csv")
 
 
+def _forced(spark, sf, root):
+    """Forced links of customers, some with an empty cell, every seventh named again further down."""
+    key = F.col("c_custkey")
+    twice = F.explode(F.when(key % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = B.table(spark, sf, "customer").filter(key % 3 == 0).select("c_custkey", twice.alias("again"))
+    _csv(rows.select((key + 5000 + F.col("again")).cast("string").alias("fpl_code"), F.when(key % 2 == 0, F.lit("understat")).otherwise(F.lit(" transfermarkt ")).alias("source"),
+                     F.concat(F.lit("r"), key.cast("string")).alias("source_id"), F.when(key % 11 == 0, F.lit(" ")).otherwise(F.lit("checked")).alias("reason"),
+                     F.lit("2026-01-01").alias("date")).coalesce(1).sortWithinPartitions("fpl_code"), f"{root}/forced/{STAMP}/player_overrides.csv")
+
+
 def _events(spark, sf, root):
     eid = F.col("event_id")
     loc = F.array((eid % 120).cast("double"), (eid % 80).cast("double"))

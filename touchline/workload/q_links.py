@@ -303,7 +303,7 @@ def staged(spark, sf):
     return {"lines": lines_, "values": B.market_values(spark, sf)}
 
 
-def _failed(table: str, column: str, check: str, value: str, rows: str) -> str:
+def failed_sql(table: str, column: str, check: str, value: str, rows: str) -> str:
     """Failures and examples (smallest, largest, one by hash) of the failing ``rows``."""
     v, pick = f"CAST({value} AS VARCHAR)", f"arg_min(CAST({value} AS VARCHAR), md5(CAST({value} AS VARCHAR)))"
     return f"""SELECT '{table}' AS "table", '{column}' AS "column", '{check}' AS "check", CAST(sum(n) AS BIGINT) AS failures,
@@ -311,11 +311,11 @@ def _failed(table: str, column: str, check: str, value: str, rows: str) -> str:
 
 
 _VALID = "SELECT * FROM (" + " UNION ALL ".join([
-    _failed("lines", "xa", "not_null", "'null'", "SELECT 1 AS n FROM v_fact WHERE xa IS NULL"),
-    _failed("lines", "margin", "non_negative", "m", "SELECT 1 AS n, goals - assists AS m FROM v_fact WHERE goals - assists < 0"),
-    _failed("lines", "minutes", "in_range(0,45)", "mins", "SELECT 1 AS n, mins FROM v_fact WHERE mins > 45"),
-    _failed("values", "value_eur", "requires(tm_last_updated)", "value_eur", "SELECT 1 AS n, value_eur FROM v_value WHERE value_eur IS NOT NULL AND tm_last_updated IS NULL"),
-    _failed("lines", "player_id/match_id/shots", "unique", "player_id || '/' || match_id || '/' || shots",
+    failed_sql("lines", "xa", "not_null", "'null'", "SELECT 1 AS n FROM v_fact WHERE xa IS NULL"),
+    failed_sql("lines", "margin", "non_negative", "m", "SELECT 1 AS n, goals - assists AS m FROM v_fact WHERE goals - assists < 0"),
+    failed_sql("lines", "minutes", "in_range(0,45)", "mins", "SELECT 1 AS n, mins FROM v_fact WHERE mins > 45"),
+    failed_sql("values", "value_eur", "requires(tm_last_updated)", "value_eur", "SELECT 1 AS n, value_eur FROM v_value WHERE value_eur IS NOT NULL AND tm_last_updated IS NULL"),
+    failed_sql("lines", "player_id/match_id/shots", "unique", "player_id || '/' || match_id || '/' || shots",
             "SELECT player_id, match_id, shots, count(*) AS n FROM v_fact GROUP BY 1, 2, 3 HAVING count(*) > 1"),
 ]) + ") WHERE failures > 0"
 

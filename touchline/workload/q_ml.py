@@ -203,12 +203,19 @@ def scoring_frame(spark, sf):
 _CODE = "list_position(['" + "', '".join(catalogue.GROUPS) + "'], position_group) - 1"
 
 
-@query("feature_matrix", " UNION ALL ".join(
-    f"SELECT '{name}' AS feature, count(DISTINCT {expr}) >= 2 AS kept FROM v_training" for name, expr in
-    [("age", "age"), ("age_sq", "age * age"), ("minutes_share", "minutes_share"), ("team_ppg", "team_ppg"),
-     *[(f"{s}_p90", f"{s}_p90") for s in VALUE.stats], ("group_code", _CODE)]))
+_INPUTS = [("age", "age"), ("age_sq", "age * age"), ("minutes_share", "minutes_share"), ("team_ppg", "team_ppg"),
+           *[(f"{s}_p90", f"{s}_p90") for s in VALUE.stats], ("group_code", _CODE)]
+_CELLS = " UNION ALL ".join(f"SELECT player_id, season_id, '{name}' AS feature, CAST({expr} AS DOUBLE) AS v FROM v_training" for name, expr in _INPUTS)
+
+
+@query("feature_matrix", f"""SELECT player_id, season_id, feature, round(coalesce(v, {V.MISSING}), 6) AS x, CAST(v IS NULL AS DOUBLE) AS missing FROM ({_CELLS})
+  WHERE feature IN (SELECT feature FROM ({_CELLS}) GROUP BY 1 HAVING count(DISTINCT v) >= 2)""")
 def feature_matrix(spark, sf):
-    return V.informative_columns(training(spark, sf), VALUE.stats)
+    """Every model input of every training row, for the columns that tell rows apart, with its missing flag."""
+    rows = C.stage(training(spark, sf), "matrix-rows")
+    kept = [r["feature"] for r in V.informative_columns(rows, VALUE.stats).collect() if r["kept"]]
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"x_{c}").alias("x"), F.col(f"m_{c}").alias("missing")) for c in kept])
+    return rounded(V.feature_matrix(rows, kept, VALUE.stats).select("player_id", "season_id", F.inline(cells)), "x")
 
 
 view("m_bucketed", """SELECT *, CASE WHEN age IS NULL THEN NULL WHEN age <= 21 THEN 0 WHEN age <= 24 THEN 1 WHEN age <= 27 THEN 2 WHEN age <= 30 THEN 3 ELSE 4 END AS bucket FROM v_training""")

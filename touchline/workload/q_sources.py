@@ -18,8 +18,8 @@ from touchline.sources import snapshots as SN
 from touchline.workload import bindings as B
 from touchline.workload.feeds import STAMP, landed
 from touchline.workload.q_features import staged_features
-from touchline.workload.q_links import RULES, staged
-from touchline.workload.registry import query, r6, rounded
+from touchline.workload.q_links import RULES, failed_sql, staged
+from touchline.workload.registry import ORACLES, query, r6, rounded
 from touchline.workload.sqltext import view
 
 AT = "TIMESTAMP '2026-01-02 03:04:05'"
@@ -174,6 +174,16 @@ def scan_overrides(spark, sf):
     return kept.unionByName(lost)
 
 
+@query("scan_player_overrides", """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'understat' ELSE 'transfermarkt' END AS source, 'r' || c_custkey AS source_id,
+  CASE WHEN c_custkey % 11 <> 0 THEN c_custkey + 5000 + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END END AS code, CASE WHEN c_custkey % 11 = 0 THEN 'reason' END AS empty_columns
+  FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN 'understat' ELSE 'transfermarkt' END, 'r' || c_custkey, NULL, 'reason'
+  FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 7 = 0 AND c_custkey % 11 = 0""")
+def scan_player_overrides(spark, sf):
+    good, bad = SC.scan_player_overrides(spark, f"{landed(spark, sf, 'forced')}/forced/{STAMP}/player_overrides.csv")
+    return good.withColumn("empty_columns", F.lit(None).cast("string")).unionByName(
+        bad.select("source", "source_id", F.lit(None).cast("bigint").alias("code"), F.array_join("empty_columns", ",").alias("empty_columns")))
+
+
 @query("scan_events_flatten", f"""SELECT user_id % 20 AS match_id, CAST(event_id AS VARCHAR) AS event_id, CAST(event_id % 3000 AS INT) AS "index", 1 AS period, CAST(event_id % 90 AS INT) AS minute, CAST(event_id % 60 AS INT) AS second,
   event_type AS type, CAST(user_id % 25 AS INT) AS team_id, 'team' AS team, CASE WHEN event_id % 4 <> 0 THEN user_id END AS player_id, CASE WHEN event_id % 4 <> 0 THEN 'someone' END AS player, CAST(NULL AS VARCHAR) AS position,
   CASE WHEN event_id % 5 <> 0 THEN (event_id % 120)::DOUBLE END AS x, CASE WHEN event_id % 5 <> 0 THEN (event_id % 80)::DOUBLE END AS y, CASE event_type WHEN 'click' THEN (event_id % 120)::DOUBLE WHEN 'view' THEN 1 END AS end_x,
@@ -187,7 +197,7 @@ _NAMES = f"""SELECT 'fpl' AS source, unnest(['bootstrap-static.json', 'fixtures.
   SELECT 'vaastav', 'name=' || season_id || unnest(['_merged_gw.csv', '_players_raw.csv']) FROM v_season UNION ALL SELECT 'vaastav', 'file=' || season_id || '_teams.csv' FROM v_season UNION ALL
   SELECT 'understat', 'name=' || season_id || k FROM v_season, (VALUES ('_player_match.csv'), ('_shots.csv'), ('_team_match.csv')) t(k) UNION ALL SELECT 'espn', 'scoreboards.json' UNION ALL
   SELECT 'transfermarkt', unnest(['club-search.json', 'club-players.json', 'market-value.json']) UNION ALL SELECT 'transfermarkt_datasets', unnest(['players.csv.gz', 'player_valuations.csv.gz']) UNION ALL
-  SELECT 'override', 'market_value_overrides.csv' UNION ALL SELECT DISTINCT 'statsbomb', 'name=events-' || user_id % 20 || '.json' FROM events"""
+  SELECT 'override', 'market_value_overrides.csv' UNION ALL SELECT 'forced', 'player_overrides.csv' UNION ALL SELECT DISTINCT 'statsbomb', 'name=events-' || user_id % 20 || '.json' FROM events"""
 
 
 @query("latest_snapshot", f"SELECT source, name, '{STAMP}' AS ts FROM ({_NAMES})")
@@ -374,3 +384,36 @@ def dim_match_attach_event(spark, sf):
     known, lost = D.dim_match_attach_event(existing_matches(pairs), new_matches(pairs, "event_id"))
     cols = ["match_key", *D.PAIR, "event_id"]
     return known.select(*cols).unionByName(lost.withColumn("match_key", F.lit("unmatched")).select(*cols))
+
+
+# -- the rules of the staged tables over the scanned feeds -----------------------------------
+
+_SCANNED = {"fpl_player_match": scan_player_match, "vaastav_player_match": scan_archive_seasons, "understat_player_match": scan_player_shots,
+            "understat_team_match": scan_team_match_unpivot, "espn_possession": scan_possession, "tm_market_value": scan_market_live}
+
+
+def _rules_sql(table: str, rules: Q.Rules) -> list[str]:
+    view(f"s_{table}", ORACLES[_SCANNED[table].__name__])
+
+    def own(column: str) -> str:
+        return "mins" if column == "minutes" else column
+
+    def rows(column: str, bad: str) -> str:
+        return f"SELECT 1 AS n, {own(column)} AS v FROM s_{table} WHERE {bad}"
+
+    out = [failed_sql(table, c, "not_null", "'null'", rows(c, f"{own(c)} IS NULL")) for c in rules.not_null]
+    out += [failed_sql(table, c, "non_negative", "v", rows(c, f"{own(c)} < 0")) for c in rules.non_negative]
+    out += [failed_sql(table, c, f"in_range({lo:g},{hi:g})", "v", rows(c, f"NOT {own(c)} BETWEEN {lo} AND {hi}")) for c, (lo, hi) in rules.in_range.items()]
+    out += [failed_sql(table, c, f"requires({need})", "v", rows(c, f"{own(c)} IS NOT NULL AND {own(need)} IS NULL")) for c, need in rules.requires.items()]
+    if rules.unique:
+        keys = ", ".join(rules.unique)
+        out.append(failed_sql(table, "/".join(rules.unique), "unique", " || '/' || ".join(rules.unique),
+                              f"SELECT {keys}, count(*) AS n FROM s_{table} GROUP BY {keys} HAVING count(*) > 1"))
+    return out
+
+
+@query("validate_staged", "SELECT * FROM (" + " UNION ALL ".join(x for t, r in Q.STAGED_RULES.items() for x in _rules_sql(t, r)) + ") WHERE failures > 0")
+def validate_staged(spark, sf):
+    """All rules of the six staged tables, over the rows that the scans give."""
+    frames = {name: scan(spark, sf).withColumnsRenamed({"mins": "minutes"}) for name, scan in _SCANNED.items()}
+    return Q.validate_tables(frames).withColumn("examples", F.array_join("examples", "|"))

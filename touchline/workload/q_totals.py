@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline import catalogue
 from touchline import params as P
 from touchline.functions import scalars as S
+from touchline.operators import dimensions as D
 from touchline.operators import totals as T
 from touchline.workload import bindings as B
 from touchline.workload.registry import query, r6, rounded
@@ -272,7 +273,8 @@ def in_current_season(spark, sf):
 
 @query("dim_season", "SELECT season_id, is_current FROM v_season")
 def dim_season(spark, sf):
-    return B.dim_season(spark, sf)
+    played = B.table(spark, sf, "orders").select(S.season_label(F.year("o_orderdate")).alias("season_id"))
+    return D.dim_season(played, B.current_season(spark, sf))
 
 
 @query("standardise", """SELECT source, team_id, season_id, round((p - avg(p) OVER w) / nullif(stddev_pop(p) OVER w, 0), 6) AS possession_z,

@@ -12,6 +12,7 @@ from touchline.operators import dimensions as D
 from touchline.operators import quality as Q
 from touchline.operators import totals as T
 from touchline.operators.common import shared_dir, stage
+from touchline.plans import load as PL
 from touchline.sources import scans as SC
 from touchline.sources import sinks as SK
 from touchline.sources import snapshots as SN
@@ -417,3 +418,54 @@ def validate_staged(spark, sf):
     """All rules of the six staged tables, over the rows that the scans give."""
     frames = {name: scan(spark, sf).withColumnsRenamed({"mins": "minutes"}) for name, scan in _SCANNED.items()}
     return Q.validate_tables(frames).withColumn("examples", F.array_join("examples", "|"))
+
+
+# -- facts from the scanned feeds -------------------------------------------------------------
+
+def load_dims(spark, sf):
+    """Dimensions that know most of the feeds' players, matches and clubs."""
+    pid, mid, tid = F.col("player_id"), F.col("match_id"), F.col("team_id")
+    players = B.dim_player(spark, sf).filter(pid % 13 != 0).select("player_id", (pid + 5000).alias("fpl_code"), F.when(pid % 10 != 0, pid).alias("understat_id"), F.when(pid % 9 != 0, pid.cast("string")).alias("tm_id"))
+    matches = B.dim_match(spark, sf).filter(mid % 17 != 0).select("match_id", "season_id", "home_team_id", "away_team_id", (mid + 7000000).alias("fpl_fixture_code"),
+                                                                  mid.alias("fpl_fixture_id"), mid.alias("understat_game_id"), mid.alias("espn_event_id"))
+    teams = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("name")).filter(tid != 23).select(
+        "team_id", "name", (tid + 100).alias("fpl_code"), tid.alias("understat_id"))
+    return {"player": players, "match": matches, "team": teams}
+
+
+view("s_fpl_players", ORACLES["scan_players"])
+_P, _M = "{p} % 13 <> 0 AND {p} IN (SELECT player_id FROM v_player)", "{m} % 17 <> 0 AND {m} IN (SELECT match_id FROM v_match)"
+
+
+def _loaded(label: str, table: str, ok: str, measure: str) -> str:
+    return f"""SELECT '{label}' AS label, count(*) FILTER (ok) AS written, count(*) FILTER (NOT ok) AS skipped, CAST(sum(m) FILTER (ok) AS BIGINT) AS measure
+      FROM (SELECT coalesce({ok}, false) AS ok, {measure} AS m FROM s_{table})"""
+
+
+_FPL_KEYS = f"{_P.format(p='(fpl_code - 5000)')} AND "
+_LOAD_SQL = " UNION ALL ".join([
+    _loaded("fact_player_match:fpl", "fpl_player_match", _FPL_KEYS + _M.format(m="(fpl_fixture_code - 7000000)") + " AND team_fpl_code <> 123", "(team_fpl_code - 100) * 1000 + mins"),
+    _loaded("fact_player_match:understat", "understat_player_match", f"understat_player_id % 10 <> 0 AND {_P.format(p='understat_player_id')} AND {_M.format(m='understat_game_id')} AND understat_team_id <> 23", "understat_team_id * 1000 + mins"),
+    _loaded("fact_player_match:vaastav", "vaastav_player_match", _FPL_KEYS + _M.format(m="fpl_fixture_id") + " AND opponent_fpl_code <> 123 AND season_id = (SELECT season_id FROM v_match v WHERE v.match_id = fpl_fixture_id)",
+            "(SELECT CASE WHEN v.home_team_id = opponent_fpl_code - 100 THEN v.away_team_id ELSE v.home_team_id END FROM v_match v WHERE v.match_id = fpl_fixture_id) * 1000 + mins"),
+    _loaded("fact_team_match:understat", "understat_team_match", _M.format(m="understat_game_id") + " AND understat_team_id <> 23", "understat_team_id * 1000 + deep"),
+    _loaded("fact_team_match:espn", "espn_possession", _M.format(m="espn_event_id") + " AND team_name <> (SELECT n_name FROM nation WHERE n_nationkey = 23)", "(SELECT n_nationkey FROM nation WHERE n_name = team_name) * 1000"),
+    _loaded("fact_market_value:transfermarkt", "tm_market_value", "CAST(tm_player_id AS BIGINT) % 9 <> 0 AND " + _P.format(p="CAST(tm_player_id AS BIGINT)"), "value_eur"),
+    _loaded("fact_player_status:fpl", "fpl_players", _P.format(p="(fpl_code - 5000)"), "chance_of_playing"),
+])
+
+
+@query("load_facts", _LOAD_SQL)
+def load_facts(spark, sf):
+    """The scanned feeds loaded into the fact tables: rows written and left out per table and source, and a sum over the rows read back."""
+    path = folder(spark, "facts")
+    rows = {name: scan(spark, sf).withColumnsRenamed({"mins": "minutes"}) for name, scan in _SCANNED.items()}
+    counts = PL.load_facts(spark, {**rows, "fpl_players": scan_players(spark, sf)}, load_dims(spark, sf), path)
+    team = F.col("team_id") * 1000
+    measures = {"fact_player_match": team + F.col("minutes"), "fact_market_value": F.col("value_eur"), "fact_player_status": F.col("chance_of_playing"),
+                "fact_team_match": team + F.coalesce("deep", F.lit(0))}
+    seen = None
+    for table, measure in measures.items():
+        part = PL.read_fact(spark, path, table).groupBy(F.concat_ws(":", F.lit(table), "source").alias("label")).agg(F.sum(measure).cast("bigint").alias("measure"))
+        seen = part if seen is None else seen.unionByName(part)
+    return counts.join(seen, "label", "left")

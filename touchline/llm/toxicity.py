@@ -12,8 +12,8 @@ order, give at most ``SAMPLE_SENTENCES`` distinct sentences of each label. Label
 only some sentences of a toxic one are toxic: strings that stand in toxic sentences, after many different
 words and in many documents, far more often than chance allows are positives, however rare beside the
 commonest (copied passages and repetitive documents do not count, and a family of copies is one document),
-variants with an inserted sign are added, and strings of clean sentences are negatives;
-rounds of refitting add the clean strings nearest the margin. A logistic curve over the
+variants with an inserted sign are added, and strings of clean sentences are negatives (at most twice ``NEGATIVES``);
+rounds of refitting look through ``SCANNED`` clean strings and add the ``HARD`` nearest the margin. A logistic curve over the
 highest margin of the sampled documents gives the score. Sampled documents and sentences weigh as many as
 they stand for, so shares of the classes are those of all labels, whatever the caps.
 
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,9 @@ from touchline.operators.linkage import link_components
 #: Bounds of the training sample: documents and distinct sentences of each class.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 3_000, 30_000
 LANDMARKS, DECAY, WINDOW, STRIDE, ROUNDS = 256, 0.7, 16, 6, 3
+#: Bounds of the clean strings that the machine meets: the commonest and as many drawn ones, those looked through
+#: each round for margins that are too high, and those of them that are added.
+NEGATIVES, SCANNED, HARD = 3_000, 60_000, 1_500
 #: The margin above which all count alike in the curve.
 CEILING = 1.0
 #: Documents of the sample that share a sentence of so many words are taken for copies.
@@ -213,14 +217,20 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> np.ndarray:
 
 
 def _fit_machine(landmarks: list[str], positive: list[str], negative: list[str]) -> Model:
-    z = features(landmarks).astype(np.float64)
-    values, vectors = np.linalg.eigh(z @ z.T)
+    z = features(landmarks)
+    parts = [slice(a, a + 2187) for a in range(0, z.shape[1], 2187)]
+    gram = np.zeros((len(z), len(z)))
+    for part in parts:
+        wide = z[:, part].astype(np.float64)
+        gram += wide @ wide.T
+    values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
-    fold = z.T @ root  # triples to Nystroem features
+    fold = np.vstack([z[:, part].T.astype(np.float64) @ root for part in parts])  # triples to Nystroem features
+    del z, gram, vectors
 
     def mapped(group):
-        return np.vstack([features(group[a: a + 512]) @ fold for a in range(0, len(group), 512)])
+        return np.vstack([features(group[a: a + 64]) @ fold for a in range(0, len(group), 64)])
 
     w = _fit_svm(np.vstack([mapped(positive), mapped(negative)]), np.r_[np.ones(len(positive)), -np.ones(len(negative))])
     return Model(fold @ w[:-1], float(w[-1]))
@@ -282,10 +292,34 @@ def telling(bad: dict[str, int], good: dict[str, int], weights: tuple[float, flo
     return [w for _, w in sorted(out)]
 
 
+def context_counts(sentences: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """``contexts`` of toxic and of clean sentences (``doc_id, sentence, toxic``), counted in Spark: the driver gets strings
+    and their numbers, never a sentence."""
+    def rows(it):
+        for doc, s, toxic in it:
+            before = 0
+            for word in s.lower().split():
+                for w in set(windows(word)):
+                    yield toxic, w, doc, before
+                before = xxhash.xxh64_intdigest(word) >> 1 | 1
+
+    met = map_rows(sentences.select("doc_id", "sentence", "toxic"), rows, "toxic int, w string, doc_id long, before long", size=65536)
+    found = met.groupBy("toxic", "w").agg(F.least(F.count_distinct("doc_id"), F.count_distinct("before")).alias("n")).orderBy("w").toArrow()
+    out: tuple[dict[str, int], dict[str, int]] = {}, {}
+    for batch in found.to_batches():
+        for toxic, w, n in zip(*[c.to_pylist() for c in batch.columns]):
+            out[1 - toxic][w] = n
+    return out
+
+
 def fit_strings(toxic: list[tuple[int, str]], clean: list[tuple[int, str]], seed: int = 7,
                 weights: tuple[float, float] = (1.0, 1.0)) -> Model | None:
     """A machine from (document, sentence) pairs of toxic and of clean documents; None without a telling string."""
-    bad, good = contexts(toxic), contexts(clean)
+    return fit_contexts(contexts(toxic), contexts(clean), seed, weights)
+
+
+def fit_contexts(bad: dict[str, int], good: dict[str, int], seed: int = 7, weights: tuple[float, float] = (1.0, 1.0)) -> Model | None:
+    """A machine from the contexts of strings in toxic and in clean sentences; None without a telling string."""
     if not bad or not good:
         return None
     seeds = telling(bad, good, weights)
@@ -299,32 +333,34 @@ def fit_strings(toxic: list[tuple[int, str]], clean: list[tuple[int, str]], seed
             varied.append((w[:at] + (_LETTERS + ".-*")[int(rng.integers(0, 29))] + w[at:])[:WINDOW])
         varied.append(".".join(w)[:WINDOW])
     pool = sorted(w for w in good if w not in seeds)
-    common = sorted(pool, key=lambda w: (-good[w], w))[:3000]
-    some = [pool[i] for i in sorted(rng.choice(len(pool), min(len(pool), 3000), replace=False))]
+    common = sorted(pool, key=lambda w: (-good[w], w))[:NEGATIVES]
+    some = [pool[i] for i in sorted(rng.choice(len(pool), min(len(pool), NEGATIVES), replace=False))]
     negative = list(dict.fromkeys(common + some))
     positive = seeds + [w for w in varied if w not in good]
     landmarks = list(dict.fromkeys(positive[: max(LANDMARKS // 2, len(seeds))] + negative[:: max(1, 4 * len(negative) // LANDMARKS)]))
-    scan = pool if len(pool) <= 60_000 else [pool[i] for i in sorted(rng.choice(len(pool), 60_000, replace=False))]
+    scan = pool if len(pool) <= SCANNED else [pool[i] for i in sorted(rng.choice(len(pool), SCANNED, replace=False))]
     for _ in range(ROUNDS):
         near = _fit_machine(landmarks, positive, negative).margins(scan)
-        hard = [scan[i] for i in np.argsort(-near, kind="stable")[:1500] if near[i] > -0.9]
+        hard = [scan[i] for i in np.argsort(-near, kind="stable")[:HARD] if near[i] > -0.9]
         negative = list(dict.fromkeys(negative + hard))
         landmarks = list(dict.fromkeys(landmarks + hard[: LANDMARKS // 8]))
     return _fit_machine(landmarks, positive, negative)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """``doc_id, text, toxic`` of labels outside the held-out fold, at most SAMPLE_DOCS of each class, and how many
-    labels of its class each one stands for."""
+    """``doc_id, text, toxic`` of labels outside the held-out fold that have a text, at most SAMPLE_DOCS of each class, and
+    how many such labels of its class each one stands for."""
+    docs = docs.filter("text IS NOT NULL")
     own = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
            .filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))
-           .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+           .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi"))
+    own = stage(own, "toxic-labels")
     weights = {r["toxic"]: max(1.0, r["n"] / SAMPLE_DOCS) for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [own.filter(F.col("toxic") == c).orderBy(*order).limit(SAMPLE_DOCS) for c in (0, 1)]
     # At most 2 * SAMPLE_DOCS rows of two numbers.
     ids = some[0].unionByName(some[1])
-    return docs.filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), weights
+    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -350,11 +386,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                      .select("sentence", "toxic", F.coalesce("first", "doc_id").alias("doc_id")), "toxic-sentences")
         held = {r["toxic"]: r["n"] for r in each.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         order = [F.xxhash64("sentence"), F.col("sentence")]
-        got = {c: [tuple(r) for r in each.filter(F.col("toxic") == c).orderBy(*order).limit(SAMPLE_SENTENCES).select("doc_id", "sentence").collect()]
-               for c in (0, 1)}
+        some = [each.filter(F.col("toxic") == c).orderBy(*order).limit(SAMPLE_SENTENCES) for c in (0, 1)]
         model = None
-        if got[0] and got[1]:
-            model = fit_strings(got[1], got[0], weights=tuple(weights[c] * held[c] / len(got[c]) for c in (0, 1)))
+        if held.get(0) and held.get(1):
+            bad, good = context_counts(some[0].unionByName(some[1]))
+            model = fit_contexts(bad, good, weights=tuple(weights[c] * held[c] / min(held[c], SAMPLE_SENTENCES) for c in (0, 1)))
+            del bad, good
         if model is None:
             standing = {c: n * weights[c] for c, n in sizes.items()}
             rate = (standing.get(1, 0) + 0.5) / (sum(standing.values()) + 1)

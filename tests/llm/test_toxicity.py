@@ -148,3 +148,29 @@ def test_full_caps_score_like_a_small_table(spark, docs_of, monkeypatch):
     full = scores(T.fit(docs_of(docs), labels))
     assert np.mean(np.abs(np.array(full) - small)) < 0.05 and [s >= 0.5 for s in full] == [s >= 0.5 for s in small]
     assert len(set(rate)) == 1 and scores(T.fit(plain, labels)) == pytest.approx(rate, abs=0.01) and rate[0] < 0.15
+
+
+def test_whole_query_equals_the_dense_kernel(spark, docs_of):
+    """Scores of whole texts against the kernel's explicit features, string by string, without the fold into triples of a batch."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = T.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.filter("n_chars < 4000").orderBy("doc_id").limit(40).collect()}
+    texts |= {-1: None, -2: "", -3: "so i d i o t he", -4: "z" * 60 + " stupid"}
+    known = {}
+
+    def margin(string):
+        if string not in known:
+            known[string] = float(T.features([string])[0].astype(float) @ model.weights + model.bias)
+        return known[string]
+
+    def score(text):
+        found = [margin(w) for s in T.strings((text or "").lower().split()) for w in T.windows(s)]
+        return model.score(max([T.FLOOR, *found]))
+
+    got = {r.doc_id: (r.score, r.predicted) for r in T.toxicity(docs.unionByName(spark.createDataFrame(
+        [(k, t, "en", "s", 0) for k, t in texts.items() if k < 0], docs.schema)), labels).filter(f"doc_id IN ({', '.join(map(str, texts))})").collect()}
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        want = score(t)
+        assert got[k][0] == pytest.approx(want, abs=1e-3) and (got[k][1] == int(want >= 0.5) or abs(want - 0.5) < 1e-3)

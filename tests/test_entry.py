@@ -37,3 +37,13 @@ def test_query_matches_oracle(spark, duck, key):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_shared_results_follow_the_files(spark, tmp_path):
+    from touchline.workload import bindings as B
+
+    spark.range(3).write.parquet(str(tmp_path / "orders.parquet"))
+    first = B.version(spark, str(tmp_path))
+    assert B.version(spark, str(tmp_path)) == first
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+    assert B.version(spark, str(tmp_path)) != first

@@ -22,6 +22,14 @@ class Files:
         """Names of the entries of a folder, in order; none if there is no such folder."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path))) if self.exists(path) else []
 
+    def state(self, path: str) -> tuple[tuple[str, int, int], ...]:
+        """Name, size and time of change of everything below a folder: what tells whether its data are the same."""
+        out = []
+        for s in self._fs.listStatus(self._path(path)):
+            entry = s.getPath().toString()
+            out += self.state(entry) if s.isDirectory() else [(entry, s.getLen(), s.getModificationTime())]
+        return tuple(sorted(out))
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

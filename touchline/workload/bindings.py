@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
+from touchline.sources.files import Files
 
 GROUP_OF_SEGMENT = {"AUTOMOBILE": "GK", "BUILDING": "CB", "FURNITURE": "CM", "HOUSEHOLD": "W",
                     "MACHINERY": "ST"}
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def version(spark: SparkSession, sf: str) -> tuple:
+    """What shared results over these tables are kept by: the session and the state of the files."""
+    return spark.sparkContext.applicationId, Files(spark, sf).state(sf)
+
+
 def _season(ts: str) -> Column:
     return S.season_label(F.year(ts))
 

@@ -15,7 +15,7 @@ from touchline.workload import bindings as B
 
 STAMP, OLD_STAMP = "20260102T030405000000Z", "20260101T000000000000Z"
 OLD_SEASONS = 1997  # archive seasons that start before this year lack the optional columns
-_ROOTS: dict[tuple[str, str], str] = {}
+_ROOTS: dict[tuple, str] = {}
 _DONE: set[tuple[str, str]] = set()
 KINDS = ("GKP", "DEF", "MID", "FWD")
 
@@ -24,7 +24,7 @@ def landed(spark, sf, *sources) -> str:
     """Root folder with the feeds of ``sources`` (all of them by default) landed once."""
     writers = {"fpl": _fpl, "vaastav": _archive, "understat": _understat, "espn": _espn, "transfermarkt": _market,
                "override": _overrides, "forced": _forced, "statsbomb": _events}
-    key = (spark.sparkContext.applicationId, sf)
+    key = B.version(spark, sf)
     if key not in _ROOTS:
         _ROOTS[key] = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
     root = _ROOTS[key]

@@ -123,12 +123,12 @@ def features(spark, sf):
     return PF.features(totals, padj, B.dim_player(spark, sf), cur, prev, METHOD)
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple, DataFrame] = {}
 
 
 def warehouse(spark, sf, name, build, partition_by=()):
     """A warehouse table several engines read: written once per session, then shared."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (B.version(spark, sf), name)
     if key not in _STAGED:
         _STAGED[key] = C.stage(build(), name, partition_by)
     return _STAGED[key]

@@ -96,12 +96,12 @@ def by_modulo(matrix, k):
     return matrix.select("player_id", (F.col("player_id") % k).cast("int").alias("cluster"))
 
 
-_RUNS: dict[tuple[str, str], TR.TrainRun] = {}
+_RUNS: dict[tuple, TR.TrainRun] = {}
 
 
 def trained(spark, sf):
     """The training run over the whole tables, fitted once per session for all queries that read it."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = B.version(spark, sf)
     if key not in _RUNS:
         _RUNS[key] = TR.train(role_matrix_of(spark, sf), ROLE_KPIS, training(spark, sf), scoring(spark, sf), R.short_names(),
                               trained_at=B.TODAY, roles=ROLES, value=VALUE)

@@ -55,7 +55,7 @@ COPIED_WORDS = 12
 FOLDS = 5
 #: Margins below this count as this, so clearly clean strings need no norm.
 FLOOR = -1.0
-CACHE = 600_000
+CACHE = 150_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _LOOKS = str.maketrans("013457@$", "oieastas")
 #: Sentences; a longer one is cut so that the sample stays bounded.

@@ -16,8 +16,8 @@ piece borders are zero. Each growth step is a scan of these arrays in which a ta
 before the shuffle; exact counts are kept per (prefix id, word id), and ids of words are checked to be distinct (another
 seed is taken if not). One scan more per round counts all parts of the new candidates and looks at the words around
 them: a phrase with one and the same word before all its occurrences, or after them, stands inside a longer candidate.
-What a scan needs of earlier counts is a set of bits of fixed size (``BITS``), built from the ids: it lets too much through, never too
-little, and the exact counts decide. So no table that grows with the data is sent to the workers.
+What a scan needs of earlier counts is a set of bits of bounded size (64 bits per id, 2 ** ``BITS`` at most), built from the ids: it
+lets too much through, never too little, and the exact counts decide. So no table that grows with the data is sent to the workers.
 
 Defined cases: a null text is empty, a null language is ``und``; rows that repeat are counted each; ids are not looked at; other
 columns are ignored; an empty table gives no rows. Long texts are cut into words block by block; only the ids of one text are
@@ -42,11 +42,14 @@ from pyspark.sql import functions as F
 from touchline.llm.texts import encoded, map_rows, picked
 from touchline.operators.common import stage
 
-#: Bits of a set that scans look ids up in, as a power of two (4 MB).
+#: Bits of the largest set that scans look ids up in, as a power of two (4 MB).
 BITS = 25
-#: Words counted before a task sends its counts, ids in a row of the written corpus, extensions combined at a time.
-HELD_WORDS, CHUNK, HELD_PAIRS = 400_000, 1 << 19, 1 << 21
-WORD_CACHE = 300_000
+#: Words counted before a task sends its counts, ids in a row of the written corpus, bytes of occurrences combined at a time.
+HELD_WORDS, CHUNK, HELD_BYTES = 120_000, 1 << 17, 1 << 23
+#: Ids remembered per language, and languages remembered, in a worker.
+WORD_CACHE, LANGUAGES = 60_000, 4
+#: Texts that are Python strings at a time.
+READ = 128
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER + b".,;:!?\x0b\x0c\r\t", _UPPER.lower() + b"\n" * 9 + b" ")
 _BLANK = re.compile(rb"[ \n]")
@@ -58,7 +61,7 @@ class PhraseParams:
     max_words: int = 5
     top: int = 2000
     #: Shares of a language's frequent occurrences whose words the rounds expand, rarest words first.
-    shares: tuple[float, ...] = (0.3, 0.65, 1.0)
+    shares: tuple[float, ...] = (0.3, 1.0)
 
 
 def tokens(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -84,14 +87,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
             counts.clear()
 
         for lang, text in it:
-            found = counts.setdefault(lang, Counter())
             for words in tokens(text):
-                found.update(words)
-            if len(found) > HELD_WORDS or len(counts) > 64:
-                yield from sent()
+                counts.setdefault(lang, Counter()).update(words)
+                if sum(map(len, counts.values())) > HELD_WORDS:
+                    yield from sent()
         yield from sent()
 
-    return map_rows(docs, rows, "lang string, word string, n long", size=65536).groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    return map_rows(docs, rows, "lang string, word string, n long", size=16384, read=READ).groupBy("lang", "word").agg(F.sum("n").alias("f"))
 
 
 def _seed(lang: str, attempt: int) -> int:
@@ -111,16 +113,27 @@ def with_ids(words: DataFrame, p: PhraseParams) -> tuple[DataFrame, int]:
 
 
 def bits_of(df: DataFrame, col: str) -> np.ndarray:
-    """The set of ``col`` by its lowest ``BITS`` bits; at most 2**BITS / 64 numbers come to the driver."""
-    slots = (df.select(F.expr(f"{col} & {(1 << BITS) - 1}L").alias("v")).select(F.expr("shiftright(v, 6)").alias("slot"), F.expr("shiftleft(1L, int(v & 63))").alias("bit"))
+    """The set of ``col`` by its lowest bits; at most 2**BITS / 64 numbers come to the driver."""
+    size = 1 << min(BITS, max(12, (64 * df.count()).bit_length()))
+    slots = (df.select(F.expr(f"{col} & {size - 1}L").alias("v")).select(F.expr("shiftright(v, 6)").alias("slot"), F.expr("shiftleft(1L, int(v & 63))").alias("bit"))
              .groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow())
-    out = np.zeros(1 << (BITS - 6), np.int64)
+    out = np.zeros(size >> 6, np.int64)
     out[slots["slot"].to_numpy()] = slots["bits"].to_numpy()
     return out.view(np.uint64)
 
 
+def _sent(df: DataFrame, sets: list[np.ndarray]):
+    """The sets, packed, for the workers; ``_unpacked`` gives them there."""
+    packed = [zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for s in sets]
+    return df.sparkSession.sparkContext.broadcast(packed)
+
+
+def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(s), np.uint64) for s in packed]
+
+
 def held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    low = ids & np.uint64((1 << BITS) - 1)
+    low = ids & np.uint64(64 * len(bits) - 1)
     return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -143,7 +156,7 @@ class _Ids(dict):
             self.clear()
             self[b"\n"] = 0
         value = xxhash.xxh64_intdigest(word, self.seed)
-        low = value & ((1 << BITS) - 1)
+        low = value & (64 * len(self.bits) - 1)
         if not int(self.bits[low >> 6]) >> (low & 63) & 1:
             value = 0
         self[word] = value
@@ -152,7 +165,7 @@ class _Ids(dict):
 
 def as_ids(docs: DataFrame, bits: np.ndarray, attempt: int) -> DataFrame:
     """``chunk``: texts as word ids, zeros merged and words without a neighbour left out; each text ends with a zero."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent = _sent(docs, [bits])
 
     def packed(parts):
         ids = np.concatenate([np.zeros(1, np.uint64), *parts])
@@ -165,12 +178,13 @@ def as_ids(docs: DataFrame, bits: np.ndarray, attempt: int) -> DataFrame:
 
     def rows(it):
         known: dict[str, _Ids] = {}
+        bits, = _unpacked(sent.value)
         parts, n, zero = [], 0, np.zeros(1, np.uint64)
         for lang, text in it:
             if lang not in known:
-                if len(known) >= 16:
+                if len(known) >= LANGUAGES:
                     known.clear()
-                known[lang] = _Ids(_seed(lang, attempt), sent.value)
+                known[lang] = _Ids(_seed(lang, attempt), bits)
             get = known[lang].__getitem__
             for words in tokens(text):
                 parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
@@ -182,33 +196,39 @@ def as_ids(docs: DataFrame, bits: np.ndarray, attempt: int) -> DataFrame:
         if n:
             yield (packed(parts),)
 
-    return map_rows(docs, rows, "chunk binary", size=4)
+    return map_rows(docs, rows, "chunk binary", size=4, read=READ)
 
 
-def _scan(corpus: DataFrame, sets: list[np.ndarray], found, schema: str, combine) -> DataFrame:
-    """Columns that ``found(ids, sets)`` yields for each chunk, combined block by block."""
-    sent = corpus.sparkSession.sparkContext.broadcast(sets)
+def _scan(corpus: DataFrame, sets: list[np.ndarray], found, schema: str) -> DataFrame:
+    """Columns that ``found(ids, sets)`` yields for each chunk (prefix, word, a count, and pairs of a least and a greatest), added up
+    over the task while the sums stay small."""
+    sent = _sent(corpus, sets)
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches):
-        blocks, n = [], 0
-
-        def out():
-            cols = combine(*[np.concatenate(c) for c in zip(*blocks)])
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names)
+    def added(blocks):
+        prefix, word, n, *ends = [np.concatenate(c) for c in zip(*blocks)]
+        order, starts = _runs(prefix, word)
+        first = order[starts]
+        ops = [np.minimum, np.maximum] * (len(ends) // 2)
+        return [prefix[first], word[first], np.add.reduceat(n[order], starts), *[op.reduceat(v[order], starts) for op, v in zip(ops, ends)]]
 
+    def run(batches):
+        blocks, n, sets = [], 0, _unpacked(sent.value)
         for batch in batches:
             for chunk in batch.column(0):
-                ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(chunk.as_py()), np.uint64)
-                for block in found(ids, sent.value):
+                ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(chunk.as_buffer()), np.uint64)
+                for block in found(ids, sets):
                     if len(block[0]):
                         blocks.append(block)
-                        n += len(block[0])
-                if n >= HELD_PAIRS:
-                    yield out()
-                    blocks, n = [], 0
-        if n:
-            yield out()
+                        n += sum(c.nbytes for c in block)
+                if n >= 2 * HELD_BYTES:
+                    blocks = [added(blocks)]
+                    n = sum(c.nbytes for c in blocks[0])
+                    if n >= HELD_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in blocks[0]], names)
+                        blocks, n = [], 0
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in added(blocks)], names)
 
     return corpus.mapInArrow(run, schema)
 
@@ -232,14 +252,10 @@ def extensions(corpus: DataFrame, sets: list[np.ndarray], p: PhraseParams) -> Da
             ok = (word != 0) & held(have, grown)
             at, prefix = at[ok], grown[ok]
         word = ids[at + 1]
-        yield prefix[word != 0], word[word != 0]
+        prefix, word = prefix[word != 0], word[word != 0]
+        yield prefix, word, np.ones(len(word), np.uint64)
 
-    def combine(prefix, word):
-        order, starts = _runs(prefix, word)
-        first = order[starts]
-        return prefix[first], word[first], np.diff(np.r_[starts, len(order)])
-
-    sent = _scan(corpus, sets, found, "p long, w long, n long", combine)
+    sent = _scan(corpus, sets, found, "p long, w long, n long")
     return sent.groupBy("p", "w").agg(F.sum("n").alias("a")).filter(F.col("a") >= p.min_count)
 
 
@@ -255,16 +271,11 @@ def profiles(corpus: DataFrame, sets: list[np.ndarray]) -> DataFrame:
             grown = grown_id(prefix, word)
             ok = (word != 0) & held(have, grown)
             at, start = at[ok], start[ok]
-            yield prefix[ok], word[ok], ids[start - 1], ids[at + 1]
+            before, after = ids[start - 1].view(np.int64), ids[at + 1].view(np.int64)
+            yield prefix[ok], word[ok], np.ones(len(at), np.uint64), before, before, after, after
             prefix = grown[ok]
 
-    def combine(prefix, word, before, after):
-        order, starts = _runs(prefix, word)
-        first = order[starts]
-        ends = [op.reduceat(v[order].view(np.int64), starts) for v in (before, after) for op in (np.minimum, np.maximum)]
-        return prefix[first], word[first], np.diff(np.r_[starts, len(order)]), *ends
-
-    sent = _scan(corpus, sets, found, "p long, w long, n long, b0 long, b1 long, a0 long, a1 long", combine)
+    sent = _scan(corpus, sets, found, "p long, w long, n long, b0 long, b1 long, a0 long, a1 long")
     ends = [F.min("b0").alias("b0"), F.max("b1").alias("b1"), F.min("a0").alias("a0"), F.max("a1").alias("a1")]
     same = ((F.col("b0") == F.col("b1")) & (F.col("b0") != 0)) | ((F.col("a0") == F.col("a1")) & (F.col("a0") != 0))
     return sent.groupBy("p", "w").agg(F.sum("n").alias("f"), *ends).select("p", "w", "f", same.alias("inside"))
@@ -333,16 +344,19 @@ def grown(frontier: DataFrame, corpus: DataFrame, p: PhraseParams) -> DataFrame
     parents = frontier.select(F.col("id").alias("pid"), "lang", F.array("id").alias("ws"), F.array().cast("array<long>").alias("ls"),
                               F.col("f").alias("a"), "n")
     sets, levels = [bits_of(parents, "pid")], []
+    if not sets[0].any():
+        return None
     for size in range(2, p.max_words + 1):
         counts = with_phrase_ids(extensions(corpus, sets, p))
         above = parents.select(F.col("pid").alias("p"), "lang", F.col("ws").alias("up"), F.concat("ls", F.array("a")).alias("ls"), "n")
         level = stage(counts.join(above, "p").select("p", "w", "pid", "lang", F.concat("up", F.array("w")).alias("ws"), "ls", "a", "n"),
                       f"phrase-level-{size}")
-        if not level.limit(1).count():
+        found = bits_of(level, "pid")
+        if not found.any():
             break
         levels.append(level)
         parents = level
-        sets.append(bits_of(level, "pid"))
+        sets.append(found)
     if not levels:
         return None
     out = levels[0]
@@ -375,17 +389,20 @@ def collocations(docs: DataFrame, p: PhraseParams = PhraseParams(), lang_col: st
 
     best = None
     for nth in range(len(p.shares)):
-        frontier = words.filter(F.col("round") == nth)
+        frontier, settled = words.filter(F.col("round") == nth), None
         if best is not None:
             settled = (best.groupBy("lang").agg(F.count(F.lit(1)).alias("k"), F.min("score").alias("last"))
                        .filter(F.col("k") >= p.top).select("lang", "last"))
             frontier = frontier.join(settled, "lang", "left").filter("last IS NULL OR bound >= last").drop("last")
-        frontier = stage(frontier, "phrase-frontier")
-        if not frontier.limit(1).count():
-            continue
-        cands = grown(frontier, corpus, p)
+        cands = grown(stage(frontier, "phrase-frontier"), corpus, p)
         if cands is None:
             continue
+        if settled is not None:
+            # The cut before the last word is known already; no other gives a higher score.
+            known = F.expr("(cast(1000 AS decimal(38,0)) * a * n) div (cast(element_at(ls, -1) AS decimal(38,0)) * last_f)")
+            cands = (cands.join(words.select(F.col("id").alias("w"), F.col("f").alias("last_f")), "w").join(settled, "lang", "left")
+                     .filter(F.col("last").isNull() | (known >= F.col("last"))).drop("last", "last_f"))
+            cands = stage(cands, "phrase-candidates")
         new = scored(cands, words, corpus, p)
         # Ties at the end stay until phrases are spelled out.
         both = new if best is None else best.unionByName(new)

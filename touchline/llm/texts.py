@@ -34,10 +34,11 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, size: int = 4096) -> DataFrame:
+def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, size: int = 4096, read: int | None = None) -> DataFrame:
     """``rows`` gets an iterator over the tuples of a partition and yields output tuples.
 
-    Columns travel as Arrow batches; output is flushed every ``size`` rows.
+    Columns travel as Arrow batches; output is flushed every ``size`` rows. At most ``read`` rows of a batch become
+    Python objects at a time (all, if None).
     """
     fields = df.sparkSession.createDataFrame([], schema).schema
 
@@ -49,7 +50,8 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, s
 
         def tuples():
             for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns])
+                for at in range(0, batch.num_rows, read or max(1, batch.num_rows)):
+                    yield from zip(*[c.to_pylist() for c in batch.slice(at, read).columns])
 
         block: list[tuple] = []
         for row in rows(tuples()):

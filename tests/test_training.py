@@ -88,3 +88,34 @@ def test_em_step_equals_numpy(spark, matrix):
     assert n == pytest.approx(100) and likelihood == pytest.approx(np.log(dens.sum(1)).sum())
     assert got.weights == pytest.approx(resp.mean(0)) and got.means == pytest.approx(mean)
     assert got.variances == pytest.approx((resp.T @ x**2) / resp.sum(0)[:, None] - mean**2 + ROLES.covariance_floor)
+
+
+def test_the_two_fits_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    both = threading.Barrier(2, timeout=30)
+
+    def fit(rows, v):
+        both.wait()
+        raise ValueError("both came")
+
+    monkeypatch.setattr(V, "_fit", fit)
+    with pytest.raises(ValueError, match="both came"):
+        V.value_model(spark.createDataFrame([("2000-01",), ("2001-02",)], "season_id string"))
+
+
+def test_a_query_of_one_model_leaves_the_other_alone(spark, monkeypatch):
+    from touchline.workload import q_ml
+
+    def never(*args):
+        raise AssertionError("fitted for nothing")
+
+    seen = []
+    monkeypatch.setattr(q_ml.TR, "train_value", never)
+    monkeypatch.setattr(q_ml.TR, "train_roles", lambda *args: seen.append(args))
+    monkeypatch.setattr(q_ml, "_RUNS", {})
+    monkeypatch.setattr(q_ml, "_FITTED", set())
+    monkeypatch.setattr(q_ml, "role_matrix_of", lambda spark, sf: None)
+    for _ in range(2):
+        q_ml.trained(spark, "/root/testdata/sf0.001", "roles")
+    assert len(seen) == 1

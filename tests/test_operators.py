@@ -133,6 +133,13 @@ def test_similar_strings_finds_every_pair(spark, cutoff):
     assert got == brute_similar(set(noisy), set(words), cutoff)
 
 
+def test_similar_strings_compares_in_every_partition(spark):
+    words = [("".join(chr(97 + i * p % 26) for p in (1, 3, 5, 7, 11, 17)),) for i in range(200)]
+    df = SE.similar_strings(spark.createDataFrame(words, "q string"), spark.createDataFrame(words, "key string"), 80.0)
+    df.count()
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_prefix_search_order(spark):
     names = spark.createDataFrame([(1, "Manchester City", ["Manchester City", "Man City"]), (2, "Manchester United", ["Manchester United"]),
                                    (3, "Arsenal", ["Arsenal"]), (4, "City Town", ["City Town"])], "id int, label string, spellings array<string>")

@@ -57,3 +57,10 @@ def test_the_highest_value_of_the_newest_day_is_the_current_one(spark, tmp_path)
     got, want = both(spark, sf, "scan_market_live")
     assert got == want
     assert 11_000_000 in {r[-1] for r in got}
+
+
+def test_a_record_without_a_known_club_has_no_codes(spark, tmp_path):
+    sf = tables(tmp_path, supplier="SELECT * REPLACE (24 AS s_nationkey) FROM supplier")
+    got, want = both(spark, sf, "build_records")
+    assert got == want and got
+    assert {r[2] for r in got} == {""}  # name, source_id, team_codes, team_label

@@ -354,3 +354,17 @@ def test_common_words_come_from_the_texts(spark):
     assert {r["token"] for r in G.common_words(texts, openers=()).collect()} == {"end", "of", "road", "sea", "won", "fell"}
     facts = spark.createDataFrame([("e", 1.0, "sea")], "entity string, number double, text string")
     assert {r["token"] for r in G.grounding_check(texts, facts, common=G.common_words(texts, lower_uses=2)).collect()} == {"harbour", "hill"}
+
+
+def test_pair_scores_are_the_best_over_spellings_without_loops_over_them(spark):
+    anchors = spark.sql("""SELECT code, names, 7L AS team_code, DATE'2000-01-01' AS birth_date FROM VALUES ('a', array('José  Núñez', 'Zé')), ('b', array('Nunez Jose Maria', NULL)),
+      ('c', CAST(array() AS ARRAY<STRING>)), ('d', array('', 'J. Nunez')), ('e', array('Straße & Sohn')) AS t(code, names)""")
+    records = spark.sql("""SELECT 'u' AS source, id AS source_id, name, array(7L, 8L, 7L) AS team_codes, CAST(NULL AS DATE) AS birth_date
+      FROM VALUES ('1', 'Jose Nunez'), ('2', 'NUNEZ, José'), ('3', ''), ('4', CAST(NULL AS STRING)), ('5', 'strasse sohn') AS t(id, name)""")
+    found = L.pair_scores(records, anchors)
+    one_by_one = (records.select("source_id", NM.spelled("name").alias("r")).crossJoin(anchors.select("code", F.transform("names", NM.spelled).alias("a")))
+                  .select("source_id", "code", NM.name_score(F.col("a"), F.col("r")).alias("score")))
+    got = {(r["source_id"], r["code"]): r["score"] for r in found.collect()}
+    assert found.count() == 25 and got == {(r["source_id"], r["code"]): r["score"] for r in one_by_one.collect()}
+    assert got["1", "a"] == 100.0 and got["4", "a"] == got["1", "c"] == 0.0
+    assert "array_max" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from touchline.llm import near_dup
 
@@ -106,3 +107,26 @@ def test_exact_round_leaves_out_only_hopeless_pairs(spark, docs_of):
         key += 1
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs_of(rows)).collect()}
     assert got == brute(rows)
+
+
+def test_a_worker_turns_few_rows_into_objects_at_a_time(monkeypatch):
+    class Seen(Exception):
+        pass
+
+    class Texts:
+        def select(self, *columns):
+            return self
+
+    def caught(df, rows, schema, size=4096, read=None):
+        raise Seen(rows, size, read)
+
+    monkeypatch.setattr(near_dup, "map_rows", caught)
+    with pytest.raises(Seen) as seen:
+        near_dup.own_shingles(Texts(), near_dup.MinHashParams())
+    rows, size, read = seen.value.args
+    assert size <= 16_384 and read is not None and read <= 512
+    texts = [(1, "a b c d e f g"), (2, "c d e f g h"), (3, "")]
+    whole = list(rows(iter(texts)))
+    monkeypatch.setattr(near_dup, "OUT_ROWS", 2)
+    assert list(rows(iter(texts))) == whole and len(whole) == 4
+    assert sorted(owner for _, owner, many in whole if not many) == [1, 1, 2]

@@ -42,6 +42,8 @@ from touchline.operators.linkage import link_components
 
 #: Words whose hashes one worker keeps at a time.
 WORD_CACHE = 400_000
+#: Texts that one worker has as Python objects at a time, besides a block's, and rows that it sends at a time.
+READ_ROWS, OUT_ROWS = 512, 16_384
 #: Ids broadcast to fetch texts, at most (8 bytes each); more ids are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -115,7 +117,7 @@ def signatures(docs: DataFrame, p: MinHashParams, id_col: str = "doc_id", text_c
                 yield key, 0, None, None
 
     return map_rows(picked(docs, doc_id=id_col, text=text_col), rows,
-                    "doc_id long, n_shingles long, digest binary, sig array<int>", size=1024)
+                    "doc_id long, n_shingles long, digest binary, sig array<int>", size=1024, read=READ_ROWS)
 
 
 def shared_postings(reps: DataFrame, p: MinHashParams) -> DataFrame:
@@ -163,7 +165,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame
             if 100 * both >= p.percent * (len(set_a) + len(set_b) - both):
                 yield a, b
 
-    return map_rows(full.select("a", "b", "ta", "tb"), rows, "a long, b long")
+    return map_rows(full.select("a", "b", "ta", "tb"), rows, "a long, b long", read=READ_ROWS)
 
 
 def own_shingles(texts: DataFrame, p: MinHashParams) -> DataFrame:
@@ -179,9 +181,13 @@ def own_shingles(texts: DataFrame, p: MinHashParams) -> DataFrame:
             values = np.concatenate([s for _, s in sets])
             owners = np.repeat(np.array([k for k, _ in sets], np.int64), [len(s) for _, s in sets])
             v, first, n = np.unique(values, return_index=True, return_counts=True)
-            yield from zip(v.tolist(), owners[first].tolist(), (n > 1).tolist())
+            owner, many = owners[first], n > 1
+            del sets, values, owners, first, n
+            for at in range(0, len(v), OUT_ROWS):  # numbers become Python objects a few at a time
+                part = slice(at, at + OUT_ROWS)
+                yield from zip(v[part].tolist(), owner[part].tolist(), many[part].tolist())
 
-    sent = map_rows(texts.select("doc_id", "text"), rows, "shingle long, owner long, many boolean", size=65536)
+    sent = map_rows(texts.select("doc_id", "text"), rows, "shingle long, owner long, many boolean", size=OUT_ROWS, read=READ_ROWS)
     return (sent.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("owner").alias("doc_id"), F.max("many").alias("many"))
             .filter("n = 1 AND NOT many").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_own")))
 

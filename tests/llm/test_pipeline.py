@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from test_near_dup import brute as components
 from touchline.llm import mixing, secret_scan, toxicity
+from touchline.llm.texts import map_rows
 from touchline.operators.common import stage
 
 SF = "/root/testdata/sf0.001"
@@ -125,3 +126,38 @@ def test_result_is_in_the_order_of_the_mix(spark, folder):
     assert sorted(r.position for r in rows) == list(range(len(rows)))
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == want
     assert [r.doc_id for r in sorted(rows, key=lambda r: (r.file_name, r.row_index))] == want
+
+
+def test_workers_give_freed_memory_back(spark):
+    """A worker that goes on to the next stage does not hold what its last task has freed."""
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    def fill(it):
+        import os
+        import sys
+
+        if list(it):
+            before, n = resident(), 4000
+            held = [b"x" * n for _ in range(50_000)]
+            sys.pinned_by_test = b"x" * n  # stays, so the allocator keeps what is freed below it
+            grown = resident() - before
+            del held
+            yield os.getpid(), before, grown
+
+    def look(it):
+        import os
+
+        if list(it):
+            yield os.getpid(), resident()
+
+    one = spark.range(1).coalesce(1)
+    pid, before, grown = map_rows(one, fill, "pid long, before long, grown long").collect()[0]
+    assert grown > 150
+    for _ in range(30):
+        seen = dict(map(tuple, map_rows(one, look, "pid long, now long").collect()))
+        if pid in seen:
+            assert seen[pid] - before < 80
+            return
+    pytest.fail("the worker did not come again")

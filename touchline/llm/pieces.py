@@ -32,6 +32,8 @@ MARK = "▁"
 STEADY_UNITS, FRESH_UNITS = 350_000, 150_000
 #: Units (or texts) per library call.
 BATCH = 4096
+#: Texts that one worker has as Python objects at a time, besides a block's.
+READ_ROWS = 512
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -320,7 +322,8 @@ def encoded_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     position = {"position": position_col} if position_col else {}
     return map_rows(picked(docs, doc_id=id_col, text=text_col, **position), rows,
-                    "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean" + ", position long" * bool(position), size=256)
+                    "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean" + ", position long" * bool(position),
+                    size=256, read=READ_ROWS)
 
 
 def decoded_texts(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +36,15 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Returns to the system what a task has freed: a worker lives on and would hold it beside the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, size: int = 4096, read: int | None = None) -> DataFrame:
     """``rows`` gets an iterator over the tuples of a partition and yields output tuples.
 
@@ -63,6 +74,8 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, s
         if block:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in block], type=arrow.field(j).type) for j in range(n)], schema=arrow)
+        row = block = None
+        give_back()
 
     return df.mapInArrow(run, fields)
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.texts import map_rows, picked
+from touchline.llm.texts import give_back, map_rows, picked
 from touchline.operators.common import stage
 from touchline.operators.linkage import link_components
 
@@ -455,5 +455,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 import pyarrow as pa
 
                 yield part.filter(pa.array(ok))
+        batch = part = scorer = None
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -8,6 +8,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from touchline.llm import pieces
+from touchline.llm.texts import map_rows
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BITS = ["a", "the", " ", "  ", "   ", "\n", "\t", "é", "漢", "😀", "▁", "t", " th", "<s>", "</s>", "<0x41>", "xxxxx", "ß", "　",
@@ -82,3 +83,26 @@ def test_table_cases(spark, docs_of):
     back = {r.doc_id: r.text for r in pieces.decoded_texts(df, MODEL).collect()}
     assert back == {1: None, 2: "", 3: "a  b", None: "x", 5: long}
     assert pieces.encoded_pieces(docs_of(rows).limit(0), MODEL).count() == 0
+
+
+def test_tasks_of_a_worker_share_one_codec(spark, docs_of, tmp_path):
+    """Many small tasks build and teach a codec once per worker, so memory does not grow with their number."""
+    import shutil
+
+    own = str(tmp_path / "own.model")
+    shutil.copy(MODEL, own)
+    texts = random_texts(300)
+    got = {r["doc_id"]: r["ids"] for r in pieces.encoded_pieces(docs_of(list(enumerate(texts))).repartition(60), own).collect()}
+    other = sentencepiece.SentencePieceProcessor(model_file=own)
+    assert got == dict(enumerate(other.encode(texts)))
+
+    def look(it):
+        import os
+
+        if list(it):
+            held = pieces._built.cache_info()
+            yield os.getpid(), held.misses, held.hits
+
+    seen = map_rows(spark.range(40).repartition(40), look, "pid long, misses long, hits long").distinct().collect()
+    # Other tests' models count as misses too; not every worker of the job comes again.
+    assert any(r["hits"] for r in seen) and sum(r["hits"] for r in seen) > sum(r["misses"] for r in seen), seen

@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -292,6 +293,17 @@ class Codec:
         return out
 
 
+@lru_cache(maxsize=1)
+def _built(path: str, threads: int, state: tuple[int, int]) -> Codec:
+    return Codec(path, threads)
+
+
+def worker_codec(path: str, threads: int = 2) -> Codec:
+    """The one codec of a worker, built and taught by its first task and kept for the next ones while the file stays the same."""
+    at = os.stat(path)
+    return _built(path, threads, (at.st_mtime_ns, at.st_size))
+
+
 def _texts_of(it, chars: int = 2_000_000, rows: int = 2048):
     block, held = [], 0
     for row in it:
@@ -312,7 +324,7 @@ def encoded_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     """
 
     def rows(it):
-        codec = Codec(model_path, threads)
+        codec = worker_codec(model_path, threads)
         for block in _texts_of(it):
             texts = [r[1] for r in block]
             ids, agree = codec.encode(texts)
@@ -331,7 +343,7 @@ def decoded_texts(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
     """``doc_id, text`` of id lists."""
 
     def rows(it):
-        codec = Codec(model_path, threads)
+        codec = worker_codec(model_path, threads)
         for block in _texts_of(it):
             yield from zip([k for k, _ in block], codec.decode([i for _, i in block]))
 

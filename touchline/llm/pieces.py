@@ -31,6 +31,8 @@ from touchline.llm.texts import map_rows, picked
 MARK = "▁"
 #: Units that one worker remembers for good, and further ones that it forgets together.
 STEADY_UNITS, FRESH_UNITS = 350_000, 150_000
+#: Units that a worker still remembers between two tasks.
+IDLE_UNITS = 100_000
 #: Units (or texts) per library call.
 BATCH = 4096
 #: Texts that one worker has as Python objects at a time, besides a block's.
@@ -220,6 +222,11 @@ class Codec:
             self.odd.difference_update(self.fresh)
             self.fresh = []
 
+    def rest(self) -> None:
+        """Between tasks a codec holds at most IDLE_UNITS units; the library's own caches stay."""
+        if len(self.words) > IDLE_UNITS:
+            self.words, self.fresh, self.odd = {"": ()}, [], set()
+
     def _learn(self, words: list[str]) -> None:
         """Encodes single words (a marker stands before each) that are not known yet."""
         for at in range(0, len(words), BATCH):
@@ -331,6 +338,7 @@ def encoded_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
             back = codec.decode(ids)
             for (key, text, *at), i, same, b in zip(block, ids, agree, back):
                 yield (key, len(i), i, same, b == text.replace(MARK, " "), *at) if text is not None else (key, 0, None, None, None, *at)
+        codec.rest()
 
     position = {"position": position_col} if position_col else {}
     return map_rows(picked(docs, doc_id=id_col, text=text_col, **position), rows,

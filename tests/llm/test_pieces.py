@@ -103,16 +103,10 @@ def test_tasks_of_a_worker_share_one_codec(spark, docs_of, tmp_path):
             held = pieces._built.cache_info()
             yield os.getpid(), held.misses, held.hits
 
-    seen = map_rows(spark.range(40).repartition(40), look, "pid long, misses long, hits long").distinct().collect()
+    seen = map_rows(spark.range(40).repartition(40), look, "pid long, misses long, hits long", keeps=True).distinct().collect()
     # Other tests' models count as misses too; not every worker of the job comes again.
     assert any(r["hits"] for r in seen) and sum(r["hits"] for r in seen) > sum(r["misses"] for r in seen), seen
 
-
-def test_a_resting_codec_forgets_and_encodes_alike(monkeypatch):
-    monkeypatch.setattr(pieces, "IDLE_UNITS", 50)
-    texts = random_texts(500)
-    codec = pieces.Codec(MODEL, 1)
-    before = codec.encode(texts)
-    assert len(codec.words) > 50
-    codec.rest()
-    assert len(codec.words) <= 50 and codec.encode(texts) == before
+    # A task of another kind drops it, so that no other stage runs beside it.
+    seen = map_rows(spark.range(40).repartition(40), look, "pid long, misses long, hits long").distinct().collect()
+    assert not any(r["hits"] or r["misses"] for r in seen), seen

@@ -26,13 +26,11 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from touchline.llm.texts import map_rows, picked
+from touchline.llm.texts import KEPT, map_rows, picked
 
 MARK = "▁"
 #: Units that one worker remembers for good, and further ones that it forgets together.
 STEADY_UNITS, FRESH_UNITS = 350_000, 150_000
-#: Units that a worker still remembers between two tasks.
-IDLE_UNITS = 100_000
 #: Units (or texts) per library call.
 BATCH = 4096
 #: Texts that one worker has as Python objects at a time, besides a block's.
@@ -222,11 +220,6 @@ class Codec:
             self.odd.difference_update(self.fresh)
             self.fresh = []
 
-    def rest(self) -> None:
-        """Between tasks a codec holds at most IDLE_UNITS units; the library's own caches stay."""
-        if len(self.words) > IDLE_UNITS:
-            self.words, self.fresh, self.odd = {"": ()}, [], set()
-
     def _learn(self, words: list[str]) -> None:
         """Encodes single words (a marker stands before each) that are not known yet."""
         for at in range(0, len(words), BATCH):
@@ -305,6 +298,9 @@ def _built(path: str, threads: int, state: tuple[int, int]) -> Codec:
     return Codec(path, threads)
 
 
+KEPT.append(lambda: _built.cache_clear())
+
+
 def worker_codec(path: str, threads: int = 2) -> Codec:
     """The one codec of a worker, built and taught by its first task and kept for the next ones while the file stays the same."""
     at = os.stat(path)
@@ -338,12 +334,11 @@ def encoded_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
             back = codec.decode(ids)
             for (key, text, *at), i, same, b in zip(block, ids, agree, back):
                 yield (key, len(i), i, same, b == text.replace(MARK, " "), *at) if text is not None else (key, 0, None, None, None, *at)
-        codec.rest()
 
     position = {"position": position_col} if position_col else {}
     return map_rows(picked(docs, doc_id=id_col, text=text_col, **position), rows,
                     "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean" + ", position long" * bool(position),
-                    size=256, read=READ_ROWS)
+                    size=256, read=READ_ROWS, keeps=True)
 
 
 def decoded_texts(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids",
@@ -355,4 +350,4 @@ def decoded_texts(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
         for block in _texts_of(it):
             yield from zip([k for k, _ in block], codec.decode([i for _, i in block]))
 
-    return map_rows(picked(encoded, doc_id=id_col, ids=ids_col), rows, "doc_id long, text string", size=256)
+    return map_rows(picked(encoded, doc_id=id_col, ids=ids_col), rows, "doc_id long, text string", size=256, keeps=True)

@@ -36,6 +36,15 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Each drops what a worker keeps for further tasks of one kind; called when a task of another kind begins.
+KEPT: list[Callable[[], None]] = []
+
+
+def drop_kept() -> None:
+    for drop in KEPT:
+        drop()
+
+
 def give_back() -> None:
     """Returns to the system what a task has freed: a worker lives on and would hold it beside the stages that follow."""
     gc.collect()
@@ -45,17 +54,20 @@ def give_back() -> None:
         trim(0)
 
 
-def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, size: int = 4096, read: int | None = None) -> DataFrame:
+def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, size: int = 4096, read: int | None = None,
+             keeps: bool = False) -> DataFrame:
     """``rows`` gets an iterator over the tuples of a partition and yields output tuples.
 
     Columns travel as Arrow batches; output is flushed every ``size`` rows. At most ``read`` rows of a batch become
-    Python objects at a time (all, if None).
+    Python objects at a time (all, if None). ``keeps``: the rows' own kind of task uses what ``KEPT`` would drop.
     """
     fields = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if not keeps:
+            drop_kept()
         arrow = to_arrow_schema(fields)
         n = len(arrow)
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.texts import give_back, map_rows, picked
+from touchline.llm.texts import drop_kept, give_back, map_rows, picked
 from touchline.operators.common import stage
 from touchline.operators.linkage import link_components
 
@@ -445,6 +445,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     at = docs.columns.index(text_col)
 
     def keep(batches):
+        drop_kept()
         model = sent.value
         scorer = Scorer(model)
         for batch in batches:

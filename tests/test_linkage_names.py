@@ -59,3 +59,14 @@ def test_ascii_names_are_normalised_like_others(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     folded = F.trim(F.regexp_replace(NM.fold("n"), "[^a-z0-9]+", " "))
     assert df.filter(~NM.normalise_name("n").eqNullSafe(folded)).isEmpty()
+
+
+@pytest.mark.parametrize("rows_per_slice", [1, 20_000])
+def test_names_of_a_club_are_paired_once(spark, rows_per_slice):
+    anchors = spark.sql("SELECT * FROM VALUES (1L, 'José Núñez'), (1L, 'Zé'), (1L, NULL), (1L, '--'), (2L, 'Zé'), (NULL, 'Nobody'), (3L, 'Alone') AS t(team_code, n)")
+    records = spark.sql("SELECT * FROM VALUES (1L, 'Nunez'), (2L, 'NUNEZ'), (1L, 'Nunez'), (1L, NULL), (2L, ''), (NULL, 'Nobody'), (4L, 'Far') AS t(team_code, name)")
+    found = L.name_pairs(records, anchors, rows_per_slice)
+    pairs = (records.join(anchors, "team_code").select(NM.normalise_name("n").alias("a"), NM.normalise_name("name").alias("b")).distinct())
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, pairs.collect())) and found.count() == 9
+    # No pair is dealt out: the last exchange has the club's names in one column.
+    assert "hashpartitioning(a" not in found._jdf.queryExecution().executedPlan().toString()
